@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.clusters import compact_groups, describe, grid_clusters
+from geoloom.llm.language import document_languages, segments, unnamed_languages
 from geoloom.llm.packing import fill_report, materialised_sizes, pack
 from geoloom.llm.percentiles import grouped_percentiles
 from geoloom.llm.tokenise import decode_corpus, encode_corpus, token_counts
@@ -101,6 +102,22 @@ def p7_sound(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(over, "container", "left").select("container", "n_docs", F.coalesce("n_over", F.lit(0)).alias("n_over"), "n_needless", "n_gaps")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return unnamed_languages(docs, segments(docs))
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every document."""
+    docs = table(spark, d, "documents")
+    return document_languages(docs, segments(docs))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every segment."""
+    return segments(table(spark, d, "documents"))
+
+
 _KEY = r"regexp_replace(translate(replace(replace(lower({c}), ' ', ''), chr(9), ''), '-', '_'), '(^|[^0-9])0+([0-9])', '\1\2', 'g')"
 
 QUERIES = {
@@ -114,6 +131,9 @@ QUERIES = {
     "p7_bins": p7_bins,
     "p7_report": p7_report,
     "p7_sound": p7_sound,
+    "p8_found": p8_found,
+    "p8_documents": p8_documents,
+    "p8_segments": p8_segments,
 }
 
 ORACLES = {
