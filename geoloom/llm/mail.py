@@ -60,6 +60,7 @@ def _split_header(text: str) -> tuple[dict[str, str] | None, str]:
         end = len(text) if end < 0 else end
         line = text[at:end]
         if not line.strip():
+            at = end + 1
             break
         if line[0] in " \t" and name:
             fields[name] += " " + line.strip()

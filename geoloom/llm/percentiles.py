@@ -63,7 +63,8 @@ def query(s: Summary, p: float) -> tuple[float, int]:
     """The value whose rank is surely nearest to ceil(p * n), and how many ranks it may be off."""
     n, v, le, lt = s
     rank = min(max(int(np.ceil(p * n)), 1), n)
-    i = min(int(np.searchsorted(le, rank)), len(v) - 1)
+    # What a tuple may be too high by grows along the list and what it may be too low by shrinks; the best is where they cross.
+    i = min(int(np.searchsorted(le + lt + 1, 2 * rank)), len(v) - 1)
     off = lambda k: max(0, int(lt[k]) + 1 - rank, rank - int(le[k]))
     best = min((k for k in (i - 1, i) if k >= 0), key=lambda k: (off(k), -k))
     return float(v[best]), off(best)
