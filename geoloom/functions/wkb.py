@@ -94,7 +94,7 @@ def _point_xy(geometry: pd.Series) -> pd.DataFrame:
 
 
 def point_xy(geometry: Column) -> Column:
-    """struct(x, y) of a point, or of a geometry's first vertex; NaN where it is null or empty."""
+    """struct(x, y) of a point, or of a geometry's first vertex; both null where it is null or empty."""
     return _point_xy(geometry)
 
 

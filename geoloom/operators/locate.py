@@ -40,7 +40,7 @@ def distinct_points(df: DataFrame, id_col: str = "id", geometry: str = "geometry
     xy = df.where(F.col(id_col).isNotNull() & F.col(geometry).isNotNull()).select(
         F.col(id_col).alias("id"), point_xy(F.col(geometry)).alias("p")
     )
-    return xy.select("id", "p.x", "p.y").where(~F.isnan("x") & ~F.isnan("y")).distinct()
+    return xy.select("id", "p.x", "p.y").where("x is not null and y is not null").distinct()
 
 
 def _slabs_of(rings: list[np.ndarray]) -> Iterator[tuple]:

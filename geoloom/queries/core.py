@@ -27,7 +27,7 @@ def roads_filled(spark: SparkSession, d: str) -> DataFrame:
     roads = (
         roads.withColumn("p", start)
         .withColumn("road_class", F.substring("road_no", 1, 1))
-        .withColumn("stretch", F.when(~F.isnan("p.x"), F.concat_ws("_", F.round("p.x").cast("bigint"), F.round("p.y").cast("bigint"))))
+        .withColumn("stretch", F.when(F.col("p.x").isNotNull(), F.concat_ws("_", F.round("p.x").cast("bigint"), F.round("p.y").cast("bigint"))))
         .drop("p", "geometry")
     )
     levels = [["road_class"], ["road_no"], ["road_no", "stretch"]]
