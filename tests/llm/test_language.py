@@ -47,7 +47,7 @@ def test_mail():
     assert [p for p in paragraphs(quoted) if sentences(p)] == ["One here. Two there.", "Three words here. And some more.", "Deeper it goes.", "Last words."]
     assert body("From: a\nTo: b\nContent-Transfer-Encoding: quoted-printable\nContent-Type: text/plain; charset=iso-8859-1\n\nf=FCr=\n dich") == "für dich"
     assert paragraphs("") == paragraphs("  \n ") == [] and body("just: text") == "just: text"
-    assert repaired("fÃ¼r Ã  la") == "für à la" and repaired("für") == "für"
+    assert repaired("für à la 한".encode().decode("latin-1")) == "für à la 한" and repaired("für Ä") == "für Ä"
     assert sentences("The set (no. 31537) was sent. It was nr. 5 of all.") == 2 and sentences("Str. 95 Tel. +00 12") == 0
 
 
