@@ -9,6 +9,7 @@ from geoloom.functions.wkb import point_xy
 from geoloom.operators.fill import Categorical, Numeric, fill_missing, filled_cells
 from geoloom.operators.locate import containing, distinct_points, pairs_within
 from geoloom.operators.wide import to_wide, unresolved_cells
+from geoloom.session import cut_lineage
 
 LANES, WIDTH, ELEVATION = Categorical("lanes", 1, 16), Numeric("width", 1.5, 80.0), Numeric("value", -50.0, 2500.0)
 
@@ -31,7 +32,7 @@ def roads_filled(spark: SparkSession, d: str) -> DataFrame:
         .drop("p", "geometry")
     )
     levels = [["road_class"], ["road_no"], ["road_no", "stretch"]]
-    return fill_missing(roads, [LANES, WIDTH], levels, time="year")
+    return fill_missing(cut_lineage(roads), [LANES, WIDTH], levels, time="year")
 
 
 def elevation_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +43,7 @@ def elevation_filled(spark: SparkSession, d: str) -> DataFrame:
         for axis in "xy":
             cells = cells.withColumn(f"{axis}_{side}", F.floor(F.col(f"{axis}min") / side))
         levels.append(["elev_type", f"x_{side}", f"y_{side}"])
-    return fill_missing(cells, [ELEVATION], levels, rounds=1)
+    return fill_missing(cut_lineage(cells), [ELEVATION], levels, rounds=1)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
