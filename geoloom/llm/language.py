@@ -252,11 +252,17 @@ def train(docs: DataFrame, *, rows: int = TRAINING_ROWS) -> Model:
     labelled = docs.where(F.col("label").rlike(_LABEL) & F.col("text").isNotNull())
     hashed = F.xxhash64("doc_id")
     smallest = labelled.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    sample = [] if smallest is None else labelled.where(hashed <= smallest).select("label", "text").toLocalIterator()
-    texts = []
-    for label, text in sample:
-        texts.append((label_codes(label), [[folded(w) or w for w in _WORD.findall(p)] for p in paragraphs(text)]))
-    return fit(texts)
+    if smallest is None:
+        return fit([])
+    sample = labelled.where(hashed <= smallest).select("label", "text").mapInPandas(_folded_paragraphs, "label string, words string")
+    return fit([(label_codes(r[0]), [p.split(" ") for p in r[1].split("\n") if p]) for r in sample.collect()])
+
+
+def _folded_paragraphs(batches):
+    """Words of each text's paragraphs, one line a paragraph."""
+    for batch in batches:
+        lines = ["\n".join(" ".join(folded(w) or w for w in _WORD.findall(p)) for p in paragraphs(x)) for x in batch["text"]]
+        yield pd.DataFrame({"label": batch["label"], "words": lines})
 
 
 def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None) -> DataFrame:

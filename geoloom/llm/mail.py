@@ -27,7 +27,7 @@ _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.I | re.S)
 _BREAK = re.compile(r"</p>|<br\s*/?>|</div>", re.I)
 _ASIDE = re.compile(r"\([^()]*\d[^()]*\)")
-_END = re.compile(r"[.!?。！？](?=[\"'”’»)]*(?:\s+(?![\d+])|$))")
+_END = re.compile(r"[.!?。！？](?=[^\s0-9A-Za-zÀ-ɏ가-힣]{0,4}(?:\s+(?![\d+])|$))")
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _CONTACT = re.compile(r"@|://|\d{4}")
 _RULE = re.compile(r"[\W_]*$")
