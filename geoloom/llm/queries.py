@@ -142,6 +142,12 @@ ORACLES = {
       r as (select coalesce(spelt, varname) as varname, year from
             (select varname, year, {_KEY.format(c='varname')} as k from result_df where value is not null and not isnan(value)) left join names using (k))
       select varname, year, count(*) as n, {len(PERCENTILES)} as n_percentiles, true as within from r group by varname, year""",
+    "p5_found": f"""
+      with p as (select distinct id, x, y from centroid_df where id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)),
+      n as (select distinct a.id, b.id as other from p a join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {LINK * LINK}),
+      s as (select id, list(other order by other) as near, min(other) as cluster_id, count(*) as k from n group by id),
+      g as (select near, count(*) as members from s group by near)
+      select cluster_id, id from s join g using (near) where members = k and k >= 3""",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
     "p7_sound": "select container, (select count(*) from documents) as n_docs, 0 as n_over, 0 as n_needless, 0 as n_gaps from containers",
 }
