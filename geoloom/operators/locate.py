@@ -57,13 +57,27 @@ def _slabs_of(rings: list[np.ndarray]) -> Iterator[tuple]:
     if not len(e):
         return
     xs = np.unique(np.concatenate([e[:, 0], e[:, 2]]))
-    for x0, x1 in zip(xs[:-1], xs[1:]):
+    todo = list(zip(xs[:-1], xs[1:]))[::-1]
+    while todo:
+        x0, x1 = todo.pop()
         own = e[(e[:, 0] <= x0) & (e[:, 2] >= x1)]
         slope = (own[:, 3] - own[:, 1]) / (own[:, 2] - own[:, 0])
         y0, ym, y1 = (own[:, 1] + slope * (x - own[:, 0]) for x in (x0, (x0 + x1) / 2, x1))
-        own = own[np.lexsort((slope, ym))]
-        if len(own):
-            yield x0, x1, min(y0.min(), y1.min()), max(y0.max(), y1.max()), own
+        order = np.lexsort((slope, ym))
+        if (cut := _crossing(x0, x1, y0[order], y1[order])) is not None:
+            todo += [(cut, x1), (x0, cut)]
+        elif len(own):
+            yield x0, x1, min(y0.min(), y1.min()), max(y0.max(), y1.max()), own[order]
+
+
+def _crossing(x0: float, x1: float, y0: np.ndarray, y1: np.ndarray) -> float | None:
+    """An x at which two neighbouring edges of a slab cross, which only happens in a polygon that crosses itself."""
+    d0, d1 = np.diff(y0), np.diff(y1)
+    at = np.flatnonzero((np.minimum(d0, d1) < -EDGE_TOLERANCE) & (np.maximum(d0, d1) > EDGE_TOLERANCE))
+    if not len(at):
+        return None
+    x = float(x0 + (x1 - x0) * d0[at[0]] / (d0[at[0]] - d1[at[0]]))
+    return x if x0 + EDGE_TOLERANCE < x < x1 - EDGE_TOLERANCE else None
 
 
 def _decompose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

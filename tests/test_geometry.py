@@ -56,7 +56,7 @@ def test_projection(spark):
 
 
 def star(rnd, cx, cy, r, n):
-    turns = sorted(rnd.uniform(0, 2 * math.pi) for _ in range(n))
+    turns = [(k + rnd.uniform(0, 0.9)) * 2 * math.pi / n for k in range(n)]
     far = [rnd.uniform(0.3, 1) * r for _ in turns]
     ring = [(cx + f * math.cos(t), cy + f * math.sin(t)) for f, t in zip(far, turns)]
     return [*ring, ring[0]]
@@ -68,7 +68,7 @@ def test_kernels_against_library(spark):
     rnd = random.Random(3)
     rows = []
     for i in range(60):
-        ring = star(rnd, rnd.uniform(-150, 150), rnd.uniform(-150, 150), rnd.uniform(5, 300), rnd.randint(3, 9))
+        ring = star(rnd, rnd.uniform(-150, 150), rnd.uniform(-150, 150), rnd.uniform(5, 300), rnd.randint(5, 11))
         r = rnd.choice([50.0, 100.0])
         rows.append((i, r, bytearray(wkb.encode_polygon(ring)), reader.read(bytearray(wkb.encode_polygon(ring)))))
     layer = spark.createDataFrame([(i, r, g) for i, r, g, _ in rows], "no int, r double, geometry binary")

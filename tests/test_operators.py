@@ -114,6 +114,7 @@ def test_containing_against_brute_force(spark):
         turns = sorted(rnd.uniform(0, 6.28) for _ in range(n))
         ring = [(cx + rnd.uniform(0.2, 1) * r * math.cos(t), cy + rnd.uniform(0.2, 1) * r * math.sin(t)) for t in turns]
         polygons.append((str(k), [*ring, ring[0]]))
+    polygons.append(("bow", [(0.0, 0.0), (2000.0, 1500.0), (2000.0, 0.0), (0.0, 1900.0), (0.0, 0.0)]))  # crosses itself
     want = set()
     for ref, ring in polygons:
         for i, x, y in points:
