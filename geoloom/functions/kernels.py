@@ -9,9 +9,8 @@ is ever materialised; each kernel gives the measure that is wanted.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = 32
@@ -25,10 +24,6 @@ def _normal(k: int) -> tuple[float, float]:
     return math.cos((k + 0.5) * STEP), math.sin((k + 0.5) * STEP)
 
 
-def _dot(n: tuple[float, float], x: Column, y: Column) -> Column:
-    return x * n[0] + y * n[1]
-
-
 def cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
@@ -45,25 +40,37 @@ def segment_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.hypot(x1 + t * dx, y1 + t * dy)
 
 
+def _normals(n: int) -> Column:
+    """The first ``n`` side normals as one constant. Looping over it keeps generated methods short enough to be compiled."""
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in map(_normal, range(n))])
+
+
 def clip(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> tuple[Column, Column]:
     """Parameters between which a segment runs inside the buffer; the first exceeds the second if it doesn't."""
+    t = clip_range(x1, y1, x2, y2, r)
+    return t["t0"], t["t1"]
+
+
+def clip_range(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> Column:
+    """struct(t0, t1) of ``clip``; segments wholly inside or out are told by distance, others are cut by the 16 strips."""
     dx, dy, d = x2 - x1, y2 - y1, r * APOTHEM
-    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
-    for k in range(SIDES // 2):  # opposite sides bound the same strip
-        n = _normal(k)
-        a, b = _dot(n, x1, y1), _dot(n, dx, dy)
-        along = F.try_divide(-a, b)
-        half = F.try_divide(d, F.abs(b))
-        missed = (b == 0) & (F.abs(a) > d)
-        enter.append(F.when(missed, F.lit(2.0)).otherwise(along - half))
-        leave.append(along + half)
-    return F.greatest(*enter), F.least(*leave)
+
+    def strip(s: Column, n: Column) -> Column:  # opposite sides bound the same strip
+        a, b = n["x"] * x1 + n["y"] * y1, n["x"] * dx + n["y"] * dy
+        enter = F.when(b != 0, F.try_divide(-a, b) - F.try_divide(d, F.abs(b))).when(F.abs(a) > d, F.lit(2.0))
+        leave = F.try_divide(-a, b) + F.try_divide(d, F.abs(b))
+        return F.struct(F.greatest(s["t0"], enter).alias("t0"), F.least(s["t1"], leave).alias("t1"))
+
+    pair = lambda a, b: F.struct(F.lit(a).alias("t0"), F.lit(b).alias("t1"))
+    inside = (x1 * x1 + y1 * y1 <= d * d) & (x2 * x2 + y2 * y2 <= d * d)
+    cut = F.aggregate(_normals(SIDES // 2), pair(0.0, 1.0), strip)
+    return F.when(inside, pair(0.0, 1.0)).when(segment_distance(x1, y1, x2, y2) > r, pair(1.0, 0.0)).otherwise(cut)
 
 
 def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> Column:
     """Length of a segment inside the buffer."""
-    t0, t1 = clip(x1, y1, x2, y2, r)
-    return F.greatest(F.lit(0.0), t1 - t0) * F.hypot(x2 - x1, y2 - y1)
+    length = F.hypot(x2 - x1, y2 - y1)
+    return F.transform(F.array(clip_range(x1, y1, x2, y2, r)), lambda t: F.greatest(F.lit(0.0), t["t1"] - t["t0"]) * length)[0]
 
 
 def wedges(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -76,33 +83,40 @@ def wedges(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.when(c != 0, F.sequence(k0, F.greatest(k0, F.floor((first + turn) / STEP)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def wedge_area(x1: Column, y1: Column, x2: Column, y2: Column, r: Column, k: Column) -> Column:
-    """Signed area between origin and edge, inside wedge ``k`` of the buffer; summed over wedges and a ring's edges it is the overlap."""
-    c = cross(x1, y1, x2, y2)
-    px, py = F.when(c > 0, x1).otherwise(x2), F.when(c > 0, y1).otherwise(y2)
-    qx, qy = F.when(c > 0, x2).otherwise(x1), F.when(c > 0, y2).otherwise(y1)
-    d = r * APOTHEM
-
-    def at_ray(turn: Column) -> Column:
-        ux, uy = F.cos(turn), F.sin(turn)
-        p, q = cross(ux, uy, px, py), cross(ux, uy, qx, qy)
-        return p, q
-
-    p0, q0 = at_ray(k * STEP)
-    p1, q1 = at_ray((k + 1) * STEP)
-    t0 = F.when(p0 < 0, F.least(F.lit(1.0), F.try_divide(p0, p0 - q0))).otherwise(F.lit(0.0))
-    t1 = F.when(q1 > 0, F.greatest(F.lit(0.0), F.try_divide(p1, p1 - q1))).otherwise(F.lit(1.0))
-    nx, ny = F.cos((k + 0.5) * STEP), F.sin((k + 0.5) * STEP)
-    fp, fq = px * nx + py * ny, qx * nx + qy * ny
-    fa, fb = fp + t0 * (fq - fp), fp + t1 * (fq - fp)
-    cut = F.try_divide(d - fa, fb - fa)
+def with_wedge_area(df: DataFrame, name: str = "area") -> DataFrame:
+    """One row per edge and wedge it passes, with the signed area between origin, edge and buffer inside that wedge.
+
+    ``df`` has x1, y1, x2, y2 relative to the buffer's centre, and r. Summed over
+    wedges and a ring's edges, the areas are the overlap. Each step is a
+    projection of its own, so that no term is worked out twice.
+    """
+    own = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    kept = [F.col(c) for c in df.columns]
+    col = F.col
+    df = df.withColumn("__k", F.explode(wedges(*own))).withColumn("__c", cross(*own))
+    ahead = col("__c") > 0
+    for to, one, two in (("__px", "x1", "x2"), ("__py", "y1", "y2"), ("__qx", "x2", "x1"), ("__qy", "y2", "y1")):
+        df = df.withColumn(to, F.when(ahead, col(one)).otherwise(col(two)))
+    for ray, turn in (("u", 0.0), ("v", 1.0), ("n", 0.5)):
+        df = df.withColumns({f"__{ray}x": F.cos((col("__k") + turn) * STEP), f"__{ray}y": F.sin((col("__k") + turn) * STEP)})
+    at = lambda ray, end: cross(col(f"__{ray}x"), col(f"__{ray}y"), col(f"__{end}x"), col(f"__{end}y"))
+    height = lambda end: col(f"__{end}x") * col("__nx") + col(f"__{end}y") * col("__ny")
+    df = df.withColumns({"__p0": at("u", "p"), "__q0": at("u", "q"), "__p1": at("v", "p"), "__q1": at("v", "q"), "__fp": height("p"), "__fq": height("q")})
+    df = df.withColumns({
+        "__t0": F.when(col("__p0") < 0, F.least(F.lit(1.0), F.try_divide(col("__p0"), col("__p0") - col("__q0")))).otherwise(F.lit(0.0)),
+        "__t1": F.when(col("__q1") > 0, F.greatest(F.lit(0.0), F.try_divide(col("__p1"), col("__p1") - col("__q1")))).otherwise(F.lit(1.0)),
+    })
+    d = col("r") * APOTHEM
+    df = df.withColumns({"__fa": col("__fp") + col("__t0") * (col("__fq") - col("__fp")), "__fb": col("__fp") + col("__t1") * (col("__fq") - col("__fp"))})
+    df = df.withColumn("__cut", F.try_divide(d - col("__fa"), col("__fb") - col("__fa")))
     share = (
-        F.when((fa <= d) & (fb <= d), F.lit(1.0))
-        .when((fa > d) & (fb > d), d * d / (fa * fb))
-        .when(fa <= d, cut + (1 - cut) * d / fb)
-        .otherwise(cut * d / fa + (1 - cut))
+        F.when((col("__fa") <= d) & (col("__fb") <= d), F.lit(1.0))
+        .when((col("__fa") > d) & (col("__fb") > d), d * d / (col("__fa") * col("__fb")))
+        .when(col("__fa") <= d, col("__cut") + (1 - col("__cut")) * d / col("__fb"))
+        .otherwise(col("__cut") * d / col("__fa") + (1 - col("__cut")))
     )
-    return F.when(t1 > t0, F.abs(c) * (t1 - t0) / 2 * share * F.signum(c)).otherwise(F.lit(0.0))
+    piece = F.when(col("__t1") > col("__t0"), col("__c") * (col("__t1") - col("__t0")) / 2 * share).otherwise(F.lit(0.0))
+    return df.select(*kept, piece.alias(name))
 
 
 def ray_crossing(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -111,23 +125,23 @@ def ray_crossing(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def box_meets_buffer(xmin: Column, ymin: Column, xmax: Column, ymax: Column, r: Column) -> Column:
-    """Whether an axis-aligned box and the buffer share a point: no side of either separates them."""
+    """Whether an axis-aligned box and the buffer share a point: no side of either separates them.
+
+    The circles inside and around the buffer settle all but boxes at its rim.
+    """
     d = r * APOTHEM
-    tests = [xmin <= r, xmax >= -r, ymin <= r, ymax >= -r]
-    for k in range(SIDES):
-        n = _normal(k)
-        tests.append(_dot(n, xmin if n[0] > 0 else xmax, ymin if n[1] > 0 else ymax) <= d)
-    return reduce(lambda a, b: a & b, tests)
+    near = F.hypot(F.greatest(xmin, -xmax, F.lit(0.0)), F.greatest(ymin, -ymax, F.lit(0.0)))
+    sides = (xmin <= r) & (xmax >= -r) & (ymin <= r) & (ymax >= -r)
+    low = lambda n: n["x"] * F.when(n["x"] > 0, xmin).otherwise(xmax) + n["y"] * F.when(n["y"] > 0, ymin).otherwise(ymax) <= d
+    return F.when(near <= d, F.lit(True)).when(near > r, F.lit(False)).otherwise(sides & F.forall(_normals(SIDES), low))
 
 
 def box_inside_buffer(xmin: Column, ymin: Column, xmax: Column, ymax: Column, r: Column) -> Column:
-    """Whether a box lies in the buffer's interior."""
+    """Whether a box lies in the buffer's interior; again the circles settle most."""
     d = r * APOTHEM
-    tests = []
-    for k in range(SIDES):
-        n = _normal(k)
-        tests.append(_dot(n, xmax if n[0] > 0 else xmin, ymax if n[1] > 0 else ymin) < d)
-    return reduce(lambda a, b: a & b, tests)
+    far = F.hypot(F.greatest(F.abs(xmin), F.abs(xmax)), F.greatest(F.abs(ymin), F.abs(ymax)))
+    high = lambda n: n["x"] * F.when(n["x"] > 0, xmax).otherwise(xmin) + n["y"] * F.when(n["y"] > 0, ymax).otherwise(ymin) < d
+    return F.when(far < d, F.lit(True)).when(far > r, F.lit(False)).otherwise(F.forall(_normals(SIDES), high))
 
 
 def box_meets_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column, inner: Column, outer: Column) -> Column:

@@ -41,17 +41,13 @@ def box_join(left: DataFrame, right: DataFrame) -> DataFrame:
     width = lambda s: F.greatest(F.col(f"{s}x1") - F.col(f"{s}x0"), F.col(f"{s}y1") - F.col(f"{s}y0"))
     right = right.withColumn("__own", level_of(width("r")))
     left = left.withColumn("__min", level_of(width("l")))
-    least = left.agg(F.min("__min"), F.max("__min")).first()
-    used = {r[0] for r in right.select("__own").distinct().collect()}  # at most LEVELS or so
-    if least[0] is None or not used:
-        levels: list[int] = []
-    else:
-        levels = sorted({max(u, m) for u in used for m in range(least[0], least[1] + 1)})
-    choices = F.array(*map(F.lit, levels)).cast("array<int>")
+    # At most LEVELS or so of each; a side takes its own level and those above that only the other side has of its own.
+    lefts = {r[0] for r in left.select("__min").distinct().collect()}
+    rights = {r[0] for r in right.select("__own").distinct().collect()}
+    choices = lambda own, other: F.array_union(F.array(own), F.filter(F.array(*map(F.lit, sorted(other))).cast("array<int>"), lambda v: v > own))
     side = side_of(F.col("level"))
-    # A pair meets on the greater of both own levels: left rows take each level at or above theirs, right rows likewise.
-    keyed_left = left.withColumn("level", F.explode(F.filter(choices, lambda v: v >= F.col("__min"))))
-    keyed_right = right.withColumn("level", F.explode(F.filter(choices, lambda v: v >= F.col("__own"))))
+    keyed_left = left.withColumn("level", F.explode(choices(F.col("__min"), rights)))
+    keyed_right = right.withColumn("level", F.explode(choices(F.col("__own"), lefts)))
     for axis in "xy":
         keyed_left = keyed_left.withColumn(f"c{axis}", F.explode(_span(f"l{axis}0", f"l{axis}1", side)))
         keyed_right = keyed_right.withColumn(f"c{axis}", F.explode(_span(f"r{axis}0", f"r{axis}1", side)))

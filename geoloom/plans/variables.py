@@ -72,25 +72,23 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in ("L", "LL", "LLW")}, F.col("year"))
 
 
-def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str]) -> DataFrame:
-    """(id, r, keep..., overlap, meets) per pair of a buffer and a polygon part whose boxes meet."""
+def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str], touching: bool = False) -> DataFrame:
+    """(id, r, keep..., overlap) per pair of a buffer and a polygon part whose boxes meet; with ``touching``, only of those that meet."""
     boxes = polygons.withColumnsRenamed({"xmin": "rx0", "ymin": "ry0", "xmax": "rx1", "ymax": "ry1"})
-    boxes = boxes.withColumn("__poly", F.monotonically_increasing_id())
+    boxes = boxes.withColumn("__poly", F.xxhash64("fid", "rx0", "ry0", "rx1", "ry1"))
     pairs = box_join(buffers(points, sizes), boxes).where("r > 0")
     edges = pairs.select("id", "x", "y", "r", "__poly", *keep, F.explode("edges").alias("e"))
     ends = [F.col(f"e.{c}") - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
     edges = edges.select("id", "r", "__poly", *keep, *[e.alias(n) for e, n in zip(ends, ("x1", "y1", "x2", "y2"))])
     own = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    keys = ["id", "r", "__poly", *keep]
+    area = K.with_wedge_area(edges).groupBy(*keys).agg(F.sum("area").alias("overlap"))
+    if not touching:
+        return area.select("id", "r", *keep, F.greatest(F.lit(0.0), "overlap").alias("overlap"))
     enter, leave = K.clip(*own, F.col("r"))
-    part = edges.select(
-        "id", "r", "__poly", *keep, *own, (enter <= leave).alias("hits"), K.ray_crossing(*own).alias("crosses"), K.wedges(*own).alias("ks")
-    )
-    area = F.aggregate("ks", F.lit(0.0), lambda a, k: a + K.wedge_area(*own, F.col("r"), k))
-    return (
-        part.groupBy("id", "r", "__poly", *keep)
-        .agg(F.sum(area).alias("overlap"), F.max("hits").alias("hits"), F.sum(F.col("crosses").cast("int")).alias("n"))
-        .select("id", "r", *keep, F.greatest(F.lit(0.0), F.col("overlap")).alias("overlap"), (F.col("hits") | (F.col("n") % 2 == 1)).alias("meets"))
-    )
+    hits = edges.groupBy(*keys).agg(F.max(enter <= leave).alias("hits"), F.sum(K.ray_crossing(*own).cast("int")).alias("n"))
+    met = hits.where(F.col("hits") | (F.col("n") % 2 == 1)).drop("hits", "n").join(area.select("id", "r", "__poly", "overlap"), ["id", "r", "__poly"], "left")
+    return met.select("id", "r", *keep, F.greatest(F.lit(0.0), F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
 
 
 def landuse(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], year: int) -> DataFrame:
@@ -112,7 +110,7 @@ def region_overlap(points: DataFrame, polygons: DataFrame, sizes: Sequence[float
 
     A buffer that touches none has one row with a null code and ratio 0.
     """
-    found = _overlaps(points, polygons, sizes, ["fid", "tot_reg_cd", "feature_area"]).where("meets")
+    found = _overlaps(points, polygons, sizes, ["fid", "tot_reg_cd", "feature_area"], touching=True)
     ratio = found.groupBy("id", "r", "fid", "tot_reg_cd").agg((F.sum("overlap") / F.max("feature_area")).alias("ratio"))
     grid = buffers(points, sizes).select("id", "r")
     full = grid.join(ratio, ["id", "r"], "left")
