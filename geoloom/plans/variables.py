@@ -62,7 +62,8 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     round_ = buffers(points, sizes)
     pairs = box_join(round_, _segment_boxes(segments))
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
-    pairs = pairs.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len")).where("len > 0")
+    pairs = pairs.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len"))
+    # Pairs that only their boxes make add nothing; a filter on the length would work it out twice.
     sums = pairs.groupBy("id", "r", "year").agg(
         F.sum("len").alias("L"), F.sum(F.col("len") * F.col("lanes")).alias("LL"), F.sum(F.col("len") * F.col("lanes") * F.col("width")).alias("LLW")
     )

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder inside a bucket that holds the layers.
+# Fixed value: folder inside a bucket that holds the layers.
 PREFIX = "airhealth"
 
 
