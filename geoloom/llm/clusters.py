@@ -132,10 +132,11 @@ def grid_clusters(df: DataFrame, eps: float, *, min_points: int = 1, id_col: str
     return points.join(known, ["cx", "cy"], "left").select("cluster_id", "id", "x", "y", F.struct("cx", "cy").alias("cell"), "cell_count")
 
 
-def describe(members: DataFrame, *, typical: int = 3) -> DataFrame:
+def describe(members: DataFrame, *, typical: int = 3, at_least: int = 1) -> DataFrame:
     """(cluster_id, size, densest, typical_ids): the ids of the densest cell nearest to its mean, ties by the smaller id.
 
     ``typical`` is the number of ids reported; they come out in that order.
+    Clusters of fewer than ``at_least`` ids are left out.
     """
     inside = members.where(F.col("cluster_id").isNotNull())
     cells = inside.groupBy("cluster_id", "cell").agg(F.max("cell_count").alias("count"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -149,7 +150,8 @@ def describe(members: DataFrame, *, typical: int = 3) -> DataFrame:
     top = ranked.withColumn("no", F.row_number().over(order)).where(F.col("no") <= typical)
     ids = top.groupBy("cluster_id").agg(F.max("densest").alias("densest"), F.sort_array(F.collect_list(F.struct("no", "id"))).alias("t"))
     ids = ids.select("cluster_id", "densest", F.col("t.id").alias("typical_ids"))
-    return inside.groupBy("cluster_id").agg(F.count_distinct("id").alias("size")).join(ids, "cluster_id")
+    size = inside.groupBy("cluster_id").agg(F.count_distinct("id").alias("size")).where(F.col("size") >= at_least)
+    return size.join(ids, "cluster_id")
 
 
 def _hull(pdf: pd.DataFrame) -> np.ndarray:

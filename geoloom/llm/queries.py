@@ -63,8 +63,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Every cluster of at least densely settled cells, its size and most typical ids."""
-    return describe(grid_clusters(table(spark, d, "centroid_df"), LINK, min_points=3))
+    """Every cluster of at least three linked ids, however thin its cells, its size and most typical ids."""
+    return describe(grid_clusters(table(spark, d, "centroid_df"), LINK), at_least=3)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from geoloom.llm import percentiles as P
 from geoloom.llm.clusters import compact_groups, describe, grid_clusters
+from geoloom.llm.queries import p5_clusters, p5_found
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
 
@@ -100,3 +101,21 @@ def test_large_groups_and_nothing(spark):
     df = spark.createDataFrame(ring + wide, "id long, x double, y double")
     assert {tuple(r) for r in compact_groups(grid_clusters(df, 200.0), 200.0).collect()} == {(0, i) for i in range(300)}
     assert grid_clusters(df.limit(0), 200.0).count() == 0 == describe(grid_clusters(df.limit(0), 200.0)).count()
+
+
+def test_described_clusters_are_whole(spark, tmp_path):
+    points = {1: (0.0, 0.0), 2: (150.0, 0.0), 3: (75.0, 145.0)}  # a group with one id to a cell
+    points |= {10 + k: (5000.0 + k, 5000.0) for k in range(4)} | {20: (5150.0, 5000.0)}  # a dense cell and a neighbour
+    points |= {30: (9000.0, 0.0), 31: (9100.0, 0.0)}  # a pair
+    rnd = random.Random(5)
+    points |= {100 + k: (20_000 + rnd.uniform(0, 3000), rnd.uniform(0, 3000)) for k in range(150)}
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in points.items()], "id long, x double, y double")
+    df.write.parquet(f"{tmp_path}/centroid_df.parquet")
+    got = {r.cluster_id: r for r in p5_clusters(spark, str(tmp_path)).collect()}
+    members = {}
+    for i, c in brute_components(points, 200.0).items():
+        members.setdefault(c, set()).add(i)
+    assert {c: r["size"] for c, r in got.items()} == {c: len(m) for c, m in members.items() if len(m) >= 3}
+    assert got[1]["size"] == 3 and got[10]["size"] == 5 and 30 not in got
+    assert all(set(r.typical_ids) <= members[c] for c, r in got.items())
+    assert {r.cluster_id for r in p5_found(spark, str(tmp_path)).collect()} <= set(got)
