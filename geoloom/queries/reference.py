@@ -45,6 +45,8 @@ _ROADS = {
     "x2": _spread("o_orderkey", 49979687, X0) + " + cast(o_orderkey % 401 - 200 as double)",
     "y2": _spread("o_orderkey", 67867967, Y0) + " + cast((o_orderkey * 7) % 401 - 200 as double)",
 }
+#: Road numbers as a main-road table lists them.
+_LISTED = "array_repeat(o_orderkey, case when o_orderkey % 10 = 0 then 2 else 1 end)"
 _PLOTS = {
     "fid": "p_partkey",
     "code": "cast(p_size % 7 as string)",
@@ -121,11 +123,17 @@ def road_llw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def main_road_llw(spark: SparkSession, d: str) -> DataFrame:
-    """Roads chosen by the numbers that a main-road table lists; a number listed twice counts twice."""
+    """Roads chosen by the numbers that a main-road table lists, 97 at most; a number listed twice counts twice."""
     chosen = table(spark, d, "supplier").selectExpr("s_suppkey * 3 % 97 as fid", "2020 as year")
     return _rounded(variables.line_lengths(points(spark, d), _roads(spark, d).drop("year").join(chosen, "fid"), ROAD_SIZES, [2020], "MR1"))
 
 
+def main_road_llw_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a main-road table that lists every road, each tenth of them twice."""
+    chosen = table(spark, d, "orders").selectExpr(f"explode({_LISTED}) as fid", "2020 as year")
+    return _rounded(variables.line_lengths(points(spark, d), _roads(spark, d).drop("year").join(chosen, "fid"), ROAD_SIZES, [2020], "MR1"))
+
+
 def landuse(spark: SparkSession, d: str) -> DataFrame:
     plots = _boxes(_derived(table(spark, d, "part"), _PLOTS))
     return _rounded(variables.landuse(points(spark, d), plots, LANDUSE_SIZES, 2020))
@@ -225,6 +233,7 @@ QUERIES = {
     "distance_lines": distance_lines,
     "road_llw": road_llw,
     "main_road_llw": main_road_llw,
+    "main_road_llw_all": main_road_llw_all,
     "landuse": landuse,
     "region_overlap": region_overlap,
     "elevation": elevation,
@@ -334,6 +343,12 @@ ORACLES = {
     "main_road_llw": _llw_sql(
         f"select a.* exclude year, 2020 as year from ({_sql(_ROADS, 'orders')}) a join (select s_suppkey * 3 % 97 as fid from supplier) b using (fid)", "MR1", [2020]
     ),
+    "main_road_llw_all": _llw_sql(
+        f"select a.* exclude year, 2020 as year from ({_sql(_ROADS, 'orders')}) a"
+        " join (select o_orderkey as fid from orders union all select o_orderkey from orders where o_orderkey % 10 = 0) b using (fid)",
+        "MR1",
+        [2020],
+    ),
     "landuse": f"""with {_overlap_sql(LANDUSE_SIZES, _sql(_PLOTS, 'part'))},
   q as (select a.id, a.r, s.code, sum(greatest(0, overlap)) as a, sum(greatest(0, overlap) / (a.r * a.r * 16 * sin(pi() / 16))) as p from a join s using (fid) group by all),
   z as (select g.id, g.r, codes.code, coalesce(q.a, 0) as a, coalesce(q.p, 0) as p from g cross join (select distinct code from s) codes left join q on q.id = g.id and q.r = g.r and q.code = codes.code)
