@@ -8,16 +8,19 @@ tables that hold geometry.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import projection
+from geoloom.functions.naming import ELEVATION
 from geoloom.operators import chunking
 from geoloom.operators.locate import distinct_points
 from geoloom.operators.prepare import to_polygons, to_segments
 from geoloom.operators.spatial import row_ids
 from geoloom.plans import finalise, variables
+from geoloom.session import cut_lineage
 
 X0, Y0 = 900_000, 1_800_000
 ROAD_SIZES, LANDUSE_SIZES, OA_SIZES, RING_SIZES = [500.0, 2000.0], [1000.0, 3000.0], [1000.0, 5000.0], [300]
@@ -214,13 +217,19 @@ def layer_road_llw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_landuse(spark: SparkSession, d: str) -> DataFrame:
-    plots = to_polygons(table(spark, d, "aoi_landuse").where("year = 2020").distinct(), "code")
-    return variables.landuse(_chunk_points(spark, d), plots, [100.0], 2020)
+    """Every year that the layer has, with the codes of that year."""
+    layer = table(spark, d, "aoi_landuse")
+    years = sorted((r[0] for r in layer.select("year").distinct().collect()), key=lambda y: (y is None, y)) or [None]
+    at = _chunk_points(spark, d)
+    plots = {y: cut_lineage(to_polygons(layer.where(F.col("year").eqNullSafe(F.lit(y))).distinct(), "code")) for y in years}
+    return reduce(DataFrame.unionByName, [variables.landuse(at, p, [100.0], y) for y, p in plots.items()])
 
 
 def layer_elevation(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "aoi_elevation").where("elev_type = 'dem'").dropDuplicates(["cell_id"])
-    return variables.elevation(_chunk_points(spark, d), cells, [100], "dem")
+    """Both surfaces, each by itself."""
+    layer, at = table(spark, d, "aoi_elevation"), _chunk_points(spark, d)
+    cells = {k: layer.where(F.col("elev_type") == k).dropDuplicates(["cell_id"]) for k in ELEVATION}
+    return reduce(DataFrame.unionByName, [variables.elevation(at, c, [100], k) for k, c in cells.items()])
 
 
 def layer_region_overlap(spark: SparkSession, d: str) -> DataFrame:
