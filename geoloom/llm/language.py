@@ -201,11 +201,11 @@ class _Index:
         return self.table[[known[w] for w in words]]
 
 
-_COLUMNS = ["doc_id", "paragraph", "n_sentences", "lang", "n_words", "n_paragraph_words", "confidence"]
+_COLUMNS = ["doc_id", "paragraph", "n_sentences", "lang", "first_word", "n_words", "n_language_words", "n_paragraph_words", "confidence"]
 
 
 def _analyse(model: Model):
-    """Segments of a batch: one row per document, paragraph and language of its words."""
+    """Segments of a batch: one row per run of words of one paragraph in one language."""
 
     def run(batches):
         index = _Index(model)
@@ -233,13 +233,20 @@ def _analyse(model: Model):
         cost[starts[:-1]] = SWITCH_AT_PARAGRAPH
         sizes = np.bincount(where[:, 0], counts, len(docs)).astype(np.int64)
         state = viterbi(scores, np.append(0, np.cumsum(sizes)), cost)
-        key, inverse = np.unique(np.repeat(np.arange(len(counts)), counts) * len(CODES) + state, return_inverse=True)
+        each = np.repeat(np.arange(len(counts)), counts) * len(CODES) + state
+        change = np.append(True, each[1:] != each[:-1])
+        first, inverse = np.flatnonzero(change), np.cumsum(change) - 1
+        key = each[first]
         total = np.stack([np.bincount(inverse, scores[:, k], len(key)) for k in range(len(CODES))], axis=1)
-        lang, at = key % len(CODES), where[key // len(CODES)]
+        lang, place_of = key % len(CODES), key // len(CODES)
+        at, n = where[place_of], np.bincount(inverse)
+        _, same = np.unique(key, return_inverse=True)
+        together = np.bincount(same, n).astype(np.int64)[same]
         rival = total - total[np.arange(len(key)), lang][:, None]
         confidence = 1 / np.exp(np.minimum(rival, 50)).sum(axis=1)
         ids = np.array([d for d, _ in docs])
-        return pd.DataFrame(dict(zip(_COLUMNS, (ids[at[:, 0]], at[:, 1], at[:, 2], np.array(CODES)[lang], np.bincount(inverse), at[:, 3], confidence))))
+        columns = (ids[at[:, 0]], at[:, 1], at[:, 2], np.array(CODES)[lang], first - starts[place_of], n, together, at[:, 3], confidence)
+        return pd.DataFrame(dict(zip(_COLUMNS, columns)))
 
     return run
 
@@ -266,10 +273,13 @@ def _folded_paragraphs(batches):
 
 
 def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", model: Model | None = None) -> DataFrame:
-    """(doc_id, paragraph, n_sentences, lang, n_words, n_paragraph_words, confidence): the spans of each paragraph of each body.
+    """(doc_id, paragraph, n_sentences, lang, first_word, n_words, n_language_words, n_paragraph_words, confidence): the spans of each paragraph of each body.
 
-    ``confidence`` is the share of the span's language among all languages, by
-    the words of the span.
+    A span ends where the language or the paragraph changes; ``first_word`` is
+    its first word's number in the paragraph, from 0. ``n_language_words`` are
+    the words of all spans of the paragraph in its language. ``confidence`` is
+    the share of the span's language among all languages, by the words of the
+    span.
 
     Defined cases: null, empty and blank texts and bodies without prose have no
     segments; a null label, or one that names no language, only means that the
@@ -279,7 +289,7 @@ def segments(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     model = model or train(docs)
-    schema = "doc_id long, paragraph int, n_sentences int, lang string, n_words int, n_paragraph_words int, confidence double"
+    schema = "doc_id long, paragraph int, n_sentences int, lang string, first_word int, n_words int, n_language_words int, n_paragraph_words int, confidence double"
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(_analyse(model), schema)
 
 
@@ -305,6 +315,6 @@ def document_languages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_
 
 def unnamed_languages(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", label_col: str = "lang") -> DataFrame:
     """(doc_id, lang): languages of a paragraph of two or more sentences that the label doesn't name."""
-    written = found.where((F.col("n_sentences") >= 2) & (2 * F.col("n_words") > F.col("n_paragraph_words"))).select("doc_id", "lang").distinct()
+    written = found.where((F.col("n_sentences") >= 2) & (2 * F.col("n_language_words") > F.col("n_paragraph_words"))).select("doc_id", "lang").distinct()
     labels = docs.select(F.col(id_col).alias("doc_id"), names(F.col(label_col)).alias("named"))
     return written.join(labels, "doc_id").where(~F.array_contains("named", F.col("lang"))).select("doc_id", "lang").distinct()

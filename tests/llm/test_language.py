@@ -92,6 +92,18 @@ def test_documents(found):
     assert got[503].lang == got[504].lang == "fr" and 0.5 < got[504].confidence <= 1 and len(got) == 305
 
 
+def test_spans_keep_their_places(spark, found):
+    docs, _, _ = found
+    rnd = random.Random(4)
+    mixed = " ".join(text(rnd, lang, 2) for lang in ("en", "fr", "en", "fr", "en"))
+    one = spark.createDataFrame([(1, mixed, "fr"), (1, mixed, "fr")], "doc_id long, text string, lang string")  # stated twice
+    spans = L.segments(one, model=L.train(docs.withColumnRenamed("lang", "label")))
+    got = sorted({(r.first_word, r.n_words, r.lang) for r in spans.collect()})
+    assert [r[2] for r in got] == ["en", "fr", "en", "fr", "en"] and [r[0] for r in got] == [sum(r[1] for r in got[:k]) for k in range(5)]
+    assert {r.n_paragraph_words for r in spans.collect()} == {sum(r[1] for r in got)}
+    assert {tuple(r) for r in L.unnamed_languages(one, spans).collect()} == {(1, "en")}
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "항구는 닫혔습니다. 아무도 없습니다.", None)], "doc_id long, text string, lang string")
     assert {tuple(r) for r in L.unnamed_languages(docs, L.segments(docs)).collect()} == {(1, "ko")}
