@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from geoloom.session import cut_lineage
 
+#: Kinds of containers.
+MAX_KINDS = 10_000
 #: Largest sum of capacities; bounds the histogram and the decision on the driver.
 MAX_CAPACITY = 2_000_000
 #: Items that share a size and are ranked in one task, on average.
@@ -107,12 +109,13 @@ def pack(items: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", siz
     Defined cases: items of size 0 or null take no room and go to bin 0; equal
     sizes are ranked by a hash of the item, then by its id; repeated rows are
     items of their own; containers with a null or non-positive capacity, and
-    repeated ones, are ignored; empty tables give an empty result; other columns
-    are ignored.
+    repeated ones, are ignored; more than ``MAX_KINDS`` kinds raise; empty
+    tables give an empty result; other columns are ignored.
     """
-    kinds = sorted(
-        {(r[0], int(r[1])) for r in containers.select("container", "capacity").where("container is not null and capacity > 0").distinct().limit(10_001).collect()}
-    )
+    rows = containers.select("container", "capacity").where("container is not null and capacity > 0").distinct().limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    kinds = sorted({(r[0], int(r[1])) for r in rows})
     if sum(c for _, c in kinds) > MAX_CAPACITY:
         raise ValueError(f"capacities sum to more than {MAX_CAPACITY}")
     spark = items.sparkSession

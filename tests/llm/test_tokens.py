@@ -98,3 +98,9 @@ def test_pack(spark):
     pieces = [p for s in sizes for p in [512] * (s // 512) + [s % 512] * (s % 512 > 0)]
     assert report["a"].bins == len(plain_best_fit(pieces, 512)) and report["a"].used == sum(sizes)
     assert pack(items.limit(0), kinds).count() == 0 and pack(items, kinds.limit(0)).count() == 0
+
+
+def test_pack_takes_all_kinds_or_raises(spark):
+    kinds = spark.range(10_002).select(F.col("id").cast("string").alias("container"), F.lit(7).alias("capacity"))
+    with pytest.raises(ValueError, match="kinds"):
+        pack(spark.createDataFrame([(1, 5)], "doc_id long, n_tokens long"), kinds)
