@@ -114,7 +114,10 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Checks every row and column of the wide table through sums per year over some typed attributes."""
+    """Checks every row of the wide table through sums per year over the eight attributes of ``_ATTRIBUTES``.
+
+    Only ``n_unresolved`` covers all attributes of the catalogue; ``p3_wide`` returns them all.
+    """
     w = wide(spark, d)
     sums = [
         F.count(n).alias(f"n_{n}") if t == "double" else F.sum(F.col(n).cast("bigint")).alias(f"s_{n}") for n, t in _ATTRIBUTES.items()
