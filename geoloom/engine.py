@@ -12,11 +12,12 @@ from enum import Enum
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import naming
 from geoloom.functions.projection import REFERENCE, to_reference
+from geoloom.functions.wkb import point_wkb
 from geoloom.operators import chunking
 from geoloom.operators.prepare import to_polygons, to_segments
 from geoloom.operators.spatial import row_ids
@@ -80,6 +81,7 @@ class Calculator:
         self._plans: list[Callable[[], DataFrame]] = []
         self._results: list[DataFrame] = []
         self._chunks: Callable[[], DataFrame] | None = None
+        self._extent: Row | None = None
 
     # Sources
 
@@ -89,14 +91,14 @@ class Calculator:
         return self
 
     def connect_cloud_storage(
-        self, s3_key_id: str | None = None, s3_secret: str | None = None, s3_account_id: str | None = None, s3_bucket_name: str | None = None
+        self, s3_key_id: str | None = None, s3_secret: str | None = None, s3_account_id: str | None = None, s3_bucket_name: str | None = None, prefix: str = ""
     ) -> Calculator:
-        """Layers are the Parquet files of a bucket; needs the s3a connector on the class path."""
+        """Layers are the Parquet files of a bucket, or of its folder ``prefix``; needs the s3a connector on the class path."""
         key, secret, account, bucket = storage.credentials(s3_key_id, s3_secret, s3_account_id, s3_bucket_name)
         hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name, value in storage.s3a_settings(key, secret, account, bucket).items():
             hadoop.set(name, value)
-        self.layers.root = storage.s3a_root(bucket)
+        self.layers.root = storage.s3a_root(bucket, prefix)
         return self
 
     def register_layer(self, name: str, layer: DataFrame) -> Calculator:
@@ -108,12 +110,11 @@ class Calculator:
         """Points with any attributes, numbered from 1 in input order; forgets earlier results."""
         if isinstance(df, pd.DataFrame):
             df = self.spark.createDataFrame(df)
-        # Numbers are given once and kept, since a later evaluation could see the rows in another order.
-        rows = cut_lineage(row_ids(df, KEY))
+        rows = row_ids(df, KEY)
         x, y = to_reference(F.col(x_col).cast("double"), F.col(y_col).cast("double"), epsg, REFERENCE)
         self.attributes = rows
         self.points = rows.select(F.col(KEY).alias("id"), x.alias("x"), y.alias("y"))
-        self._plans, self._results, self.oa_intersection_df = [], [], None
+        self._plans, self._results, self.oa_intersection_df, self._extent = [], [], None, None
         return self.chunk_by_order(100)
 
     # Chunks
@@ -134,7 +135,10 @@ class Calculator:
         return self
 
     def chunk_by_centroid(self, max_cluster_size: int = 50, distance_threshold: float = 2000, max_rows: int = 20000) -> Calculator:
-        """Chunks no wider than the threshold; ``max_rows`` is accepted, since no block of rows has to be bounded here."""
+        """Chunks no wider than the threshold: grid cells, not complete-linkage clusters, which need all distances of a block.
+
+        ``max_rows`` is accepted, but no block of rows has to be bounded here.
+        """
         points = self._point_rows()
         self._chunks = lambda: chunking.by_closeness(points, max_cluster_size, distance_threshold)
         return self
@@ -156,15 +160,31 @@ class Calculator:
         """A layer decoded once; feature numbers made on the way stay the same for all that read it."""
         return cut_lineage(make())
 
+    def _around(self, layer: DataFrame, sizes: Sequence[float]) -> DataFrame:
+        """Rows of a layer whose stated box comes near the points' extent, as literals that reach the scan; rows without a box stay."""
+        boxes = ("xmin", "xmax", "ymin", "ymax")
+        if not set(boxes) <= set(layer.columns):
+            return layer
+        if self._extent is None:
+            self._extent = self._point_rows().agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if self._extent[0] is None:
+            return layer.limit(0)
+        reach = max(map(float, sizes)) + 2 * variables.RING
+        x0, x1, y0, y1 = self._extent
+        near = [F.col("xmin") <= x1 + reach, F.col("xmax") >= x0 - reach, F.col("ymin") <= y1 + reach, F.col("ymax") >= y0 - reach]
+        for c, test in zip(boxes, near):
+            layer = layer.where(test | F.col(c).isNull())
+        return layer
+
     def run_query_workers(
         self, pre_query: str = "", main_query: str = "", post_query: str = "", mode: str | WorkerMode = WorkerMode.CHUNKED_MULTI, desc: str = ""
     ) -> Calculator:
-        """Own SQL over the view ``chunk`` (id, x, y), giving id, varname, year and value; ``pre_query`` and ``post_query`` run around it."""
+        """Own SQL over the view ``chunk`` (id, x, y, and geometry as well-known binary), giving id, varname, year and value; ``pre_query`` and ``post_query`` run around it."""
         _mode(mode)
         points = self._point_rows()
 
         def plan() -> DataFrame:
-            points.createOrReplaceTempView("chunk")
+            points.withColumn("geometry", point_wkb(F.col("x"), F.col("y"))).createOrReplaceTempView("chunk")
             try:
                 if pre_query.strip():
                     self.spark.sql(pre_query)
@@ -253,22 +273,23 @@ class Calculator:
         for year in years:
 
             def plan(year: int = year) -> DataFrame:
-                polygons = self._prepared(lambda: to_polygons(self.layers.read(f"landuse_{year}"), "code"))
-                return variables.landuse(self.points, polygons, sizes, year)
+                layer = self.layers.read(f"landuse_{year}")
+                polygons = self._prepared(lambda: to_polygons(self._around(layer, sizes), "code"))
+                return variables.landuse(self.points, polygons, sizes, year, layer.select("code"))
 
             self._note(plan)
         return self
 
     def calculate_relative_elevation(self, elev_types, buffer_sizes) -> Calculator:
-        sizes = naming.checked_sizes(buffer_sizes)
+        sizes = naming.checked_sizes(buffer_sizes, rounded=False)
         for kind in naming.checked(elev_types, tuple(naming.ELEVATION), "elevation type"):
-            self._note(lambda kind=kind: variables.elevation(self.points, self.layers.read(kind), sizes, kind))
+            self._note(lambda kind=kind: variables.elevation(self.points, self._around(self.layers.read(kind), sizes), sizes, kind))
         return self
 
     def calculate_intersecting_oa(self, buffer_sizes) -> Calculator:
         """Fills ``oa_intersection_df`` (id, buffer_size, tot_reg_cd, intersection_ratio); not part of the result."""
-        sizes = naming.checked_sizes(buffer_sizes)
-        polygons = self._prepared(lambda: to_polygons(self.layers.read(REGIONS), "tot_reg_cd"))
+        sizes = naming.checked_sizes(buffer_sizes, rounded=False)
+        polygons = self._prepared(lambda: to_polygons(self._around(self.layers.read(REGIONS), sizes), "tot_reg_cd"))
         self.oa_intersection_df = variables.region_overlap(self._point_rows(), polygons, sizes)
         return self
 

@@ -83,17 +83,24 @@ def wedges(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.when(c != 0, F.sequence(k0, F.greatest(k0, F.floor((first + turn) / STEP)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_wedge_area(df: DataFrame, name: str = "area") -> DataFrame:
+def with_wedge_area(df: DataFrame, name: str = "area", number: str | None = None) -> DataFrame:
     """One row per edge and wedge it passes, with the signed area between origin, edge and buffer inside that wedge.
 
     ``df`` has x1, y1, x2, y2 relative to the buffer's centre, and r. Summed over
     wedges and a ring's edges, the areas are the overlap. Each step is a
-    projection of its own, so that no term is worked out twice.
+    projection of its own, so that no term is worked out twice. With ``number``,
+    rows are numbered per edge in a column of that name, and an edge that passes
+    no wedge has one row without number and area.
     """
     own = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     kept = [F.col(c) for c in df.columns]
     col = F.col
-    df = df.withColumn("__k", F.explode(wedges(*own))).withColumn("__c", cross(*own))
+    if number:
+        kept.append(col(number))
+        df = df.select("*", F.posexplode_outer(wedges(*own)).alias(number, "__k"))
+    else:
+        df = df.withColumn("__k", F.explode(wedges(*own)))
+    df = df.withColumn("__c", cross(*own))
     ahead = col("__c") > 0
     for to, one, two in (("__px", "x1", "x2"), ("__py", "y1", "y2"), ("__qx", "x2", "x1"), ("__qy", "y2", "y1")):
         df = df.withColumn(to, F.when(ahead, col(one)).otherwise(col(two)))
@@ -115,7 +122,7 @@ def with_wedge_area(df: DataFrame, name: str = "area") -> DataFrame:
         .when(col("__fa") <= d, col("__cut") + (1 - col("__cut")) * d / col("__fb"))
         .otherwise(col("__cut") * d / col("__fa") + (1 - col("__cut")))
     )
-    piece = F.when(col("__t1") > col("__t0"), col("__c") * (col("__t1") - col("__t0")) / 2 * share).otherwise(F.lit(0.0))
+    piece = F.when(col("__k").isNull(), F.lit(None)).when(col("__t1") > col("__t0"), col("__c") * (col("__t1") - col("__t0")) / 2 * share).otherwise(F.lit(0.0))
     return df.select(*kept, piece.alias(name))
 
 

@@ -33,12 +33,15 @@ def plain(sizes: Sequence[float]) -> dict[float, str]:
     return {float(s): f"{s:.{digits}f}" if digits else str(int(s)) for s in sizes}
 
 
-def checked_sizes(sizes: float | Sequence[float] | None) -> list[float]:
-    """Buffer sizes, sorted; a single number is a list of one, and none at all is size 0."""
+def checked_sizes(sizes: float | Sequence[float] | None, rounded: bool = True) -> list[float]:
+    """Buffer sizes, sorted and once each; a single number is a list of one, and none at all is size 0.
+
+    Sizes that names show as the same whole number raise if names are ``rounded``.
+    """
     if sizes is None:
         sizes = [0]
-    out = sorted([sizes] if isinstance(sizes, (int, float)) else list(sizes))
-    if len({padded(s) for s in out}) != len({float(s) for s in out}):
+    out = list({float(s): s for s in reversed(sorted([sizes] if isinstance(sizes, (int, float)) else list(sizes)))}.values())[::-1]
+    if rounded and len({padded(s) for s in out}) != len(out):
         raise ValueError(f"Buffer sizes {out} round to the same name")
     return out
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,27 @@ def parts(data: bytes | None) -> list[tuple[int, list[np.ndarray]]]:
     return out
 
 
+def simple_rings(column: pa.BinaryArray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Polygons of one ring, decoded together: (rows, vertices by row) per number of vertices, and the rows of all other geometries."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    size = np.diff(offsets)
+    out, left = [], np.ones(len(column), bool)
+    for n in np.unique(size[(size > 13) & (size % 16 == 13)]):
+        rows = np.flatnonzero(size == n)
+        raw = data[offsets[rows][:, None] + np.arange(n)]
+        for order, text in ((1, "<"), (0, ">")):
+            head = struct.pack(f"{text}BIII", order, POLYGON, 1, (n - 13) // 16)
+            same = (raw[:, :13] == np.frombuffer(head, np.uint8)).all(axis=1)
+            v = np.ascontiguousarray(raw[same, 13:]).view(f"{text}f8").astype("f8").reshape(-1, (n - 13) // 16, 2)
+            whole = ~np.isnan(v).any(axis=(1, 2))
+            if whole.any():
+                found = rows[same][whole]
+                out.append((found, v[whole]))
+                left[found] = False
+    return out, np.flatnonzero(left)
+
+
 @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def _point_xy(geometry: pd.Series) -> pd.DataFrame:
     xy = np.full((len(geometry), 2), np.nan)
@@ -98,13 +120,10 @@ def point_xy(geometry: Column) -> Column:
     return _point_xy(geometry)
 
 
-def segments(data: bytes | None) -> np.ndarray:
-    """All edges of a geometry as rows (x1, y1, x2, y2); a point is an edge of length zero."""
-    out = []
-    for _, rings in parts(data):
-        for ring in rings:
-            out.append(np.hstack([ring, ring]) if len(ring) == 1 else np.hstack([ring[:-1], ring[1:]]))
-    return np.vstack(out) if out else np.empty((0, 4))
+@F.pandas_udf(T.BinaryType())
+def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Points as well-known binary; null where a coordinate is null."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else encode_point(a, b) for a, b in zip(x, y)], dtype=object)
 
 
 def encode_point(x: float, y: float) -> bytes:

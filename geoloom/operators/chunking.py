@@ -40,15 +40,21 @@ def by_hilbert(points: DataFrame, size: int, bits: int = HILBERT_BITS) -> DataFr
             "__x": F.when(turn, fy).otherwise(fx),
             "__y": F.when(turn, fx).otherwise(fy),
         })
-    ranked = distributed_rank(df, F.col("__key"), "id", "__rank").withColumn("chunk_id", F.floor((F.col("__rank") - 1) / size))
+    ranked = distributed_rank(df, ["__key", "id"], "__rank").withColumn("chunk_id", F.floor((F.col("__rank") - 1) / size))
     return ranked.select(*points.columns, "chunk_id")
 
 
 def by_closeness(points: DataFrame, size: int, reach: float) -> DataFrame:
-    """Chunks of at most ``size`` points of which no two are farther apart than ``reach``."""
+    """Chunks of at most ``size`` points of which no two are farther apart than ``reach``; named by their smallest id.
+
+    Chunks are grid cells, cut into runs of ids: they keep both promises of
+    complete-linkage chunks but need not be the same ones.
+    """
     side = reach / math.sqrt(2)
+    cell = ["__cx", "__cy"]
     keyed = points.withColumn("__cx", F.floor(F.col("x") / side)).withColumn("__cy", F.floor(F.col("y") / side))
-    no = F.row_number().over(Window.partitionBy("__cx", "__cy").orderBy("id"))
-    keyed = keyed.withColumn("__part", F.floor((no - 1) / size))
-    least = F.min("id").over(Window.partitionBy("__cx", "__cy", "__part"))
-    return keyed.withColumn("chunk_id", least).select(*points.columns, "chunk_id")
+    ranked = distributed_rank(keyed, [*cell, "id"], "__rank")  # ranges of ids split a crowded cell
+    ranked = ranked.join(ranked.groupBy(*cell).agg(F.min("__rank").alias("__first")), cell)
+    ranked = ranked.withColumn("__part", F.floor((F.col("__rank") - F.col("__first")) / size))
+    least = F.min("id").over(Window.partitionBy(*cell, "__part"))  # at most ``size`` rows
+    return ranked.withColumn("chunk_id", least).select(*points.columns, "chunk_id")

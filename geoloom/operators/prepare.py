@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.wkb import POLYGON, parts, segments
+from geoloom.functions.wkb import POLYGON, parts
 
 
 def simplify(vertices: np.ndarray, tolerance: float) -> np.ndarray:
@@ -34,20 +34,19 @@ def simplify(vertices: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def _segments(tolerance: float):
-    def rows_of(data: bytes) -> np.ndarray:
-        if not tolerance:
-            return segments(data)
-        out = []
-        for _, rings in parts(data):
-            for ring in rings:
-                v = simplify(ring, tolerance) if len(ring) > 2 else ring
+    def rows_of(data: bytes | None) -> tuple[np.ndarray, bool]:
+        """Edges, and whether the geometry has an area; a point is an edge of no length."""
+        out, area = [], False
+        for base, rings in parts(data):
+            area |= base == POLYGON
+            for v in rings:
+                v = simplify(v, tolerance) if tolerance and len(v) > 2 else v
                 out.append(np.hstack([v[:-1], v[1:]]) if len(v) > 1 else np.hstack([v, v]))
-        return np.vstack(out) if out else np.empty((0, 4))
+        return (np.vstack(out) if out else np.empty((0, 4))), area
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [rows_of(g) if g is not None else np.empty((0, 4)) for g in batch["geometry"]]
-            area = [any(b == POLYGON for b, _ in parts(g)) if g is not None else False for g in batch["geometry"]]
+            found, area = zip(*map(rows_of, batch["geometry"])) if len(batch) else ((), ())
             n = [len(s) for s in found]
             out = batch.drop(columns="geometry").loc[batch.index.repeat(n)].reset_index(drop=True)
             s = np.vstack(found) if found else np.empty((0, 4))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import kernels as K
 from geoloom.functions.naming import ELEVATION, padded, plain
 from geoloom.functions.projection import unproject
-from geoloom.operators.spatial import box_join, buffers, nearest
+from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, nearest, side_of
 
 RING = 30.0
 #: Elevation differences in metres beyond which ring cells are counted, and their names.
@@ -47,30 +48,57 @@ def distance(points: DataFrame, segments: DataFrame, name: str) -> DataFrame:
     return found.select("id", F.lit(name).alias("varname"), F.col("year").cast("int").alias("year"), F.col("distance").alias("value"))
 
 
-def _segment_boxes(segments: DataFrame) -> DataFrame:
+def _grid_level(size: float, cells: int) -> int:
+    """Finest level of which at most about ``cells`` cells make up ``size``."""
+    return max(0, math.ceil(math.log2(size / cells / CELL))) if size > 0 else 0
+
+
+def _level_by_size(sizes: Sequence[float], cells: int) -> Column:
+    pairs = {float(s): _grid_level(float(s), cells) for s in sizes}
+    return F.element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), F.col("r"))
+
+
+def _buffer_cells(rows: DataFrame) -> DataFrame:
+    """Grid cells (cx, cy) of column ``level`` near the buffer r around (x, y), and whether they lie inside it."""
+    side = side_of(F.col("level"))
     for a in "xy":
-        segments = segments.withColumn(f"r{a}0", F.least(f"{a}1", f"{a}2")).withColumn(f"r{a}1", F.greatest(f"{a}1", f"{a}2"))
-    return segments
+        span = F.sequence(F.floor((F.col(a) - F.col("r")) / side), F.floor((F.col(a) + F.col("r")) / side))
+        rows = rows.withColumn(f"c{a}", F.explode(span))
+    low = {a: F.col(f"c{a}") * side - F.col(a) for a in "xy"}
+    high = {a: (F.col(f"c{a}") + 1) * side - F.col(a) for a in "xy"}
+    near = F.hypot(*[F.greatest(F.lit(0.0), low[a], -high[a]) for a in "xy"])
+    far = F.hypot(*[F.greatest(-low[a], high[a]) for a in "xy"])
+    return rows.where(near <= F.col("r")).withColumn("inside", far < F.col("r") * K.APOTHEM)
 
 
 def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float], years: Sequence[int], prefix: str) -> DataFrame:
     """Length, lane length and lane-width length of lines inside buffers, 0 where there are none.
 
     ``segments`` has year, lanes, width and the ends. Missing lanes or widths
-    drop out of the sums that need them only.
+    drop out of the sums that need them only. Lines are cut at grid cells that
+    match the buffer sizes and summed up per cell; cells inside a buffer count
+    by their sums, and only pieces in cells at its rim are clipped.
     """
-    round_ = buffers(points, sizes)
-    pairs = box_join(round_, _segment_boxes(segments))
+    round_ = buffers(points, sizes).select("id", "x", "y", "r")
+    levels = sorted({_grid_level(float(s), 4) for s in sizes})
+    keys = ["level", "cx", "cy"]
+    pieces = cut_at_cells(segments.select("year", "lanes", "width", "x1", "y1", "x2", "y2"), levels)
+    terms = lambda n: [n, n * F.col("lanes"), n * F.col("lanes") * F.col("width")]
+    names = ["L", "LL", "LLW"]
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    per_cell = pieces.groupBy(*keys, "year").agg(*[F.sum(t).alias(n) for t, n in zip(terms(length), names)])
+
+    cells = _buffer_cells(round_.withColumn("level", _level_by_size(sizes, 4)))
+    whole = cells.where("inside").select("id", "r", *keys).join(per_cell, keys).select("id", "r", "year", *names)
+    rim = cells.where("not inside").select("id", "x", "y", "r", *keys).join(pieces, keys)
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
-    pairs = pairs.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len"))
-    # Pairs that only their boxes make add nothing; a filter on the length would work it out twice.
-    sums = pairs.groupBy("id", "r", "year").agg(
-        F.sum("len").alias("L"), F.sum(F.col("len") * F.col("lanes")).alias("LL"), F.sum(F.col("len") * F.col("lanes") * F.col("width")).alias("LLW")
-    )
+    rim = rim.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len"))
+    rim = rim.select("id", "r", "year", *[t.alias(n) for t, n in zip(terms(F.col("len")), names)])
+    sums = whole.unionByName(rim).groupBy("id", "r", "year").agg(*[F.sum(n).alias(n) for n in names])
     grid = round_.select("id", "r", F.explode(F.array(*map(F.lit, years))).alias("year"))
-    full = grid.join(sums, ["id", "r", "year"], "left").fillna(0.0, ["L", "LL", "LLW"])
+    full = grid.join(sums, ["id", "r", "year"], "left").fillna(0.0, names)
     label = _label(sizes, padded)
-    return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in ("L", "LL", "LLW")}, F.col("year"))
+    return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in names}, F.col("year"))
 
 
 def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str], touching: bool = False) -> DataFrame:
@@ -83,22 +111,28 @@ def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], ke
     edges = edges.select("id", "r", "__poly", *keep, *[e.alias(n) for e, n in zip(ends, ("x1", "y1", "x2", "y2"))])
     own = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     keys = ["id", "r", "__poly", *keep]
-    area = K.with_wedge_area(edges).groupBy(*keys).agg(F.sum("area").alias("overlap"))
+    overlap = F.greatest(F.lit(0.0), F.coalesce(F.sum("area"), F.lit(0.0))).alias("overlap")
     if not touching:
-        return area.select("id", "r", *keep, F.greatest(F.lit(0.0), "overlap").alias("overlap"))
+        return K.with_wedge_area(edges).groupBy(*keys).agg(overlap).select("id", "r", *keep, "overlap")
+    # An edge makes several rows, one per wedge; what is said of the edge itself counts in the first.
     enter, leave = K.clip(*own, F.col("r"))
-    hits = edges.groupBy(*keys).agg(F.max(enter <= leave).alias("hits"), F.sum(K.ray_crossing(*own).cast("int")).alias("n"))
-    met = hits.where(F.col("hits") | (F.col("n") % 2 == 1)).drop("hits", "n").join(area.select("id", "r", "__poly", "overlap"), ["id", "r", "__poly"], "left")
-    return met.select("id", "r", *keep, F.greatest(F.lit(0.0), F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
+    edges = edges.withColumn("__hit", enter <= leave).withColumn("__odd", K.ray_crossing(*own).cast("int"))
+    rows = K.with_wedge_area(edges, number="__no")
+    odd = F.sum(F.when(F.coalesce("__no", F.lit(0)) == 0, F.col("__odd")).otherwise(0)) % 2 == 1
+    met = rows.groupBy(*keys).agg(overlap, (F.max("__hit") | F.coalesce(odd, F.lit(False))).alias("__met"))
+    return met.where("__met").select("id", "r", *keep, "overlap")
+
 
+def landuse(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], year: int, listed: DataFrame | None = None) -> DataFrame:
+    """Area and share of every land-use code inside buffers; every code of the layer for every point, 0 where absent.
 
-def landuse(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], year: int) -> DataFrame:
-    """Area and share of every land-use code inside buffers; every code of the layer for every point, 0 where absent."""
+    ``listed`` has the codes if ``polygons`` are only those near the points.
+    """
     polygons = polygons.withColumn("code", F.col("code").cast("string"))
     sums = _overlaps(points, polygons, sizes, ["code"]).groupBy("id", "r", "code").agg(
         F.sum("overlap").alias("a"), F.sum(F.col("overlap") / K.buffer_area(F.col("r"))).alias("p")
     )
-    codes = sorted(r[0] for r in polygons.select("code").where("code is not null").distinct().collect())  # a land-use classification
+    codes = sorted(r[0] for r in (polygons if listed is None else listed).select(F.col("code").cast("string").alias("code")).where("code is not null").distinct().collect())  # a land-use classification
     grid = points.select("id", F.explode(F.array(*map(F.lit, codes)).cast("array<string>")).alias("code"))
     grid = grid.select("id", "code", F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("r"))
     full = grid.join(sums, ["id", "r", "code"], "left").fillna(0.0, ["a", "p"])
@@ -118,11 +152,28 @@ def region_overlap(points: DataFrame, polygons: DataFrame, sizes: Sequence[float
     return full.select("id", F.col("r").alias("buffer_size"), "tot_reg_cd", F.coalesce("ratio", F.lit(0.0)).alias("intersection_ratio"))
 
 
+def _ring_cells(rows: DataFrame, widest: float) -> DataFrame:
+    """Grid cells (cx, cy) of column ``level`` that may hold the middle of a box that meets the ring around (x, y), column by column."""
+    side, slack = side_of(F.col("level")), widest  # a box reaches less than its width beyond its middle
+    outer, inner = F.col("r") + RING + slack, F.greatest(F.lit(0.0), F.col("r") * K.APOTHEM - slack)
+    rows = rows.withColumn("cx", F.explode(F.sequence(F.floor((F.col("x") - outer) / side), F.floor((F.col("x") + outer) / side))))
+    low, high = F.col("cx") * side - F.col("x"), (F.col("cx") + 1) * side - F.col("x")
+    near, far = F.greatest(F.lit(0.0), low, -high), F.greatest(-low, high)
+    rows = rows.withColumns({"__a": F.sqrt(F.greatest(F.lit(0.0), outer * outer - near * near)), "__b": F.sqrt(F.greatest(F.lit(0.0), inner * inner - far * far))})
+    at = lambda v: F.floor((F.col("y") + v) / side)
+    first, last = at(-F.col("__a")), at(F.col("__a"))
+    below, above = at(-F.col("__b")), F.ceil((F.col("y") + F.col("__b")) / side) - 1  # cells between these lie inside
+    two = F.concat(F.sequence(first, below), F.sequence(above, last))
+    rows = rows.withColumn("cy", F.explode(F.when(above > below + 1, two).otherwise(F.sequence(first, last))))
+    return rows.drop("__a", "__b")
+
+
 def elevation(points: DataFrame, cells: DataFrame, sizes: Sequence[float], kind: str) -> DataFrame:
     """Elevation at each point, and shares of the cells around a ring that lie above or below it.
 
     ``cells`` has xmin, ymin, xmax, ymax and value, of which a missing one is 0.
     The elevation is the mean of the cells that touch the point. The year is null.
+    Buffers look up only grid cells that their ring crosses.
     """
     letter = ELEVATION[kind]
     cells = cells.select(
@@ -132,13 +183,17 @@ def elevation(points: DataFrame, cells: DataFrame, sizes: Sequence[float], kind:
     here = box_join(at, cells).groupBy("id").agg(F.avg("value").alias("ref"))
     here = points.select("id").join(here, "id", "left")
 
-    around = buffers(points, [float(s) + RING for s in sizes]).join(here, "id").where("ref is not null")
-    pairs = box_join(around, cells)
+    widest = cells.agg(F.max(F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0")))).first()[0] or 0.0
+    around = buffers(points, sizes).select("id", "x", "y", "r").join(here, "id").where("ref is not null")
+    keyed = cells.withColumn("level", F.explode(F.array(*map(F.lit, sorted({_grid_level(float(s), 64) for s in sizes}))).cast("array<int>")))
+    side = side_of(F.col("level"))
+    keyed = keyed.withColumns({f"c{a}": F.floor((F.col(f"r{a}0") + F.col(f"r{a}1")) / 2 / side) for a in "xy"})
+    pairs = _ring_cells(around.withColumn("level", _level_by_size(sizes, 64)), widest).join(keyed, ["level", "cx", "cy"])
     box = [F.col(c) - F.col(a) for c, a in (("rx0", "x"), ("ry0", "y"), ("rx1", "x"), ("ry1", "y"))]
-    ring = pairs.where(K.box_meets_ring(*box, F.col("r") - RING, F.col("r")))
+    ring = pairs.where(K.box_meets_ring(*box, F.col("r"), F.col("r") + RING))
     rise = F.col("value") - F.col("ref")
     tests = [F.avg(((rise > t) if t > 0 else (rise < t)).cast("int")).alias(n) for n, t in THRESHOLDS]
-    shares = ring.groupBy("id", (F.col("r") - RING).alias("r")).agg(*tests)
+    shares = ring.groupBy("id", "r").agg(*tests)
     labels = plain(sizes)
     label = _label(sizes, lambda s: labels[float(s)])
     names = {n: F.concat(F.lit(f"Alt_{letter}_{n}_"), label) for n, _ in THRESHOLDS}

@@ -6,9 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed value: folder inside a bucket that holds the layers.
-PREFIX = "airhealth"
-
 
 def s3a_settings(key_id: str, secret: str, account_id: str, bucket: str) -> dict[str, str]:
     """Hadoop settings for one bucket of an account's S3-compatible endpoint; nothing is set for other buckets."""
@@ -22,8 +19,9 @@ def s3a_settings(key_id: str, secret: str, account_id: str, bucket: str) -> dict
     }
 
 
-def s3a_root(bucket: str) -> str:
-    return f"s3a://{bucket}/{PREFIX}"
+def s3a_root(bucket: str, prefix: str = "") -> str:
+    """Folder ``prefix`` of a bucket, or the whole bucket."""
+    return "/".join(x for x in (f"s3a://{bucket}", prefix.strip("/")) if x)
 
 
 def credentials(key_id: str | None, secret: str | None, account_id: str | None, bucket: str | None) -> tuple[str, ...]:

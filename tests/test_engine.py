@@ -104,6 +104,36 @@ def test_names_and_storage():
     assert conf["fs.s3a.bucket.b.endpoint"].startswith("https://acc.") and all(k.startswith("fs.s3a.bucket.b.") for k in conf)
     with pytest.raises(ValueError):
         storage.credentials("a", None, "b", "c")
+    assert storage.s3a_root("b") == "s3a://b" and storage.s3a_root("b", "x/y/") == "s3a://b/x/y"
+    assert naming.checked_sizes([100, 50, 100.0]) == [50, 100] and naming.checked_sizes([100, 100.4], rounded=False) == [100, 100.4]
+
+
+def test_repeated_sizes_count_once(spark):
+    c = Calculator(spark=spark, verbose=False)
+    c.register_layer("roads", layer(spark, [(1, 2020, 2.0, 3.0, wkb.encode_line([(X - 1000, Y), (X + 1000, Y)]))], "id long, year int, lanes double, width double, geometry binary"))
+    c.register_layer("landuse_2020", layer(spark, [("110", box(X - 10, Y - 10, 20, 20), X - 10, Y - 10, X + 10, Y + 10), ("999", box(X + 1e5, Y, 9, 9), X + 1e5, Y, X + 1e5 + 9, Y + 9), ("110", box(X + 50, Y, 5, 5), None, None, None, None)], "code string, geometry binary, xmin double, ymin double, xmax double, ymax double"))
+    c.add_point_with_table(pd.DataFrame({"x": [X], "y": [Y]}), "x", "y", 5179).calculate_road_llw([100, 100], [2020]).calculate_landuse_area_ratio(2020, [100, 100.0])
+    rows = [(r.varname, round(r.value, 6)) for r in c.result_df.collect()]
+    assert len(rows) == len(set(rows)) == 3 + 4
+    # Codes far from all points are listed, and plots without a box count.
+    assert dict(rows)["Road_L_0100"] == 200 and dict(rows)["LS110_0100_a"] == 425 and dict(rows)["LS999_0100_a"] == 0
+
+
+def test_own_sql_sees_geometry(spark):
+    c = Calculator(spark=spark, verbose=False).add_point_with_table(pd.DataFrame({"x": [X], "y": [Y]}), "x", "y", 5179)
+    c.run_query_workers("", "select id, 'bytes' as varname, null as year, length(geometry) as value from chunk", "")
+    assert [r.value for r in c.result_df.collect()] == [21.0]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as Made
+
+    from geoloom import session
+
+    none = Made(isDefined=lambda: False)
+    context = Made(_jsc=Made(sc=lambda: Made(getCheckpointDir=lambda: none)), getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.ensure_checkpoint_dir(Made(sparkContext=context, conf=Made(get=lambda *a: None)))
 
 
 def test_entry_contract():
