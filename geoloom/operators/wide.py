@@ -1,9 +1,12 @@
 """Attribute-value rows into one typed row per entity.
 
 The entity-by-attribute grid is completed inside each entity's own row: the
-cells of an entity are collected once, laid out over the catalogue's fixed
-positions and projected by index through type-specific try casts. No physical
-cross join of entities and attributes is made, so the grid costs no shuffle.
+cells of an entity are collected once into an array sorted by attribute
+position, a bit mask says which positions are there, and every attribute is
+projected from its fixed index (the number of mask bits below its position)
+through a type-specific try cast. No physical cross join of entities and
+attributes is made, so the grid costs no shuffle, and an entity costs as many
+steps as it has cells and columns.
 
 Two exchanges, both with bounded rows: cells are pre-aggregated on the map side
 (repeats of a hot entity collapse before they move), then at most one cell per
@@ -15,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest catalogue that may be turned into columns; it is read to the driver and broadcast.
-MAX_ATTRIBUTES = 5_000
+#: Largest catalogue that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ATTRIBUTES = 50_000
+#: Positions per word of an entity's mask.
+WORD = 62
 
 _SQL_TYPE = {"double": "double", "int": "bigint", "boolean": "boolean"}
 
@@ -49,10 +54,12 @@ def to_wide(
 ) -> DataFrame:
     """One row per (id, time) with one typed column per catalogue attribute.
 
-    Columns: ``id``, ``time``, every catalogue attribute in order of its name
+    The catalogue is the result's schema, so its distinct entries are read to the
+    driver. Columns: ``id``, ``time``, every catalogue attribute in order of its name
     (``int`` becomes bigint), and ``unresolved``, the names of attributes whose
     rows hold no single well-typed value; their column is null. An attribute
-    called like ``id``, ``time`` or ``unresolved`` gets a trailing ``_``.
+    called like ``id``, ``time`` or ``unresolved`` gets a trailing ``_``. One
+    name with two types raises.
 
     Defined cases: rows with a null id belong to no entity and are left out; a
     null time is an entity of its own; null and NaN values are absent values,
@@ -61,12 +68,10 @@ def to_wide(
     give the smallest of them; an empty table gives an empty result; other
     columns of either table are ignored.
     """
-    types = {
-        r[0]: r[1]
-        for r in catalogue.select(name_col, type_col).where(F.col(name_col).isNotNull()).limit(MAX_ATTRIBUTES + 1).collect()
-    }
-    if len(types) > MAX_ATTRIBUTES:
-        raise ValueError(f"the catalogue has more than {MAX_ATTRIBUTES} attributes")
+    entries = catalogue.select(name_col, type_col).where(F.col(name_col).isNotNull()).distinct().collect()
+    types = dict(entries)
+    if len(types) < len(entries):
+        raise ValueError("the catalogue states two types for one attribute")
     names = sorted(types)
     if unknown := sorted({t for t in types.values() if t not in _SQL_TYPE}, key=str):
         raise ValueError(f"unknown value types in the catalogue: {unknown}")
@@ -83,9 +88,10 @@ def to_wide(
         attribute_key(F.col(name_col)).alias("__key"),
         F.when(~F.isnan(value), value).alias("__v"),
     )
-    # The catalogue is bounded by MAX_ATTRIBUTES, so broadcasting it is safe at any size of ``rows``.
+    if len(names) <= BROADCAST_ATTRIBUTES:
+        positions = F.broadcast(positions)
     cells = (
-        facts.join(F.broadcast(positions), "__key", "left")
+        facts.join(positions, "__key", "left")
         .groupBy("__id", "__time", "__pos")
         .agg(
             F.min("__v").alias("lo"),
@@ -93,30 +99,32 @@ def to_wide(
             F.coalesce(F.bool_or(F.col("__v").isNotNull() & ~fits(F.col("__v"), F.col("__type"))), F.lit(False)).alias("bad"),
         )
     )
-    cell = F.when(
-        F.col("__pos").isNotNull() & F.col("lo").isNotNull(),
-        F.struct(
-            "__pos", F.struct(F.when(~F.col("bad") & (F.col("hi") - F.col("lo") <= tolerance), F.col("lo")).alias("v"))
-        ),
-    )
-    entities = cells.groupBy("__id", "__time").agg(F.map_from_entries(F.collect_list(cell)).alias("__cells"))
-    grid = entities.select(
-        "__id",
-        "__time",
-        F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda p: F.try_element_at("__cells", p)).alias("__grid"),
+    present = F.col("__pos").isNotNull() & F.col("lo").isNotNull()
+    # Inside a cell, NaN stands for values that differ or do not fit; it is no value of its own.
+    single = F.when(~F.col("bad") & (F.col("hi") - F.col("lo") <= tolerance), F.col("lo")).otherwise(F.lit(float("nan")))
+    bit = F.when(present, F.expr(f"shiftleft(1L, __pos % {WORD})"))
+    words = range(-(-len(names) // WORD))
+    masks = [F.coalesce(F.bit_or(F.when(F.expr(f"__pos div {WORD} = {w}"), bit)), F.lit(0).cast("bigint")).alias(f"__m{w}") for w in words]
+    entities = cells.groupBy("__id", "__time").agg(
+        F.sort_array(F.collect_list(F.when(present, F.struct("__pos", single.alias("v"))))).alias("__cells"), *masks
     )
+    before = [F.lit(0)]
+    for w in words:
+        before.append(before[-1] + F.bit_count(f"__m{w}"))
+    grid = entities.withColumns({"__values": F.col("__cells.v")} | {f"__b{w}": before[w] for w in words})
+
+    def at(i: int) -> Column:
+        mask, own = F.col(f"__m{i // WORD}"), 1 << i % WORD
+        index = F.col(f"__b{i // WORD}") + F.bit_count(mask.bitwiseAND(F.lit(own - 1).cast("bigint")))
+        return F.when(mask.bitwiseAND(F.lit(own).cast("bigint")) != 0, F.get("__values", index))
+
     reserved = {id_col.lower(), time_col.lower(), "unresolved"}
     columns = [
-        F.col("__grid")[i]["v"].try_cast(_SQL_TYPE[types[n]]).alias(n + "_" if n.lower() in reserved else n)
-        for i, n in enumerate(names)
+        F.nullif(at(i), F.lit(float("nan"))).try_cast(_SQL_TYPE[types[n]]).alias(n + "_" if n.lower() in reserved else n) for i, n in enumerate(names)
     ]
     labels = F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    unresolved = F.filter(
-        F.transform(
-            F.col("__grid"), lambda c, i: F.when(c.isNotNull() & c["v"].isNull(), F.get(labels, i))
-        ),
-        lambda n: n.isNotNull(),
-    )
+    open_cells = F.filter("__cells", lambda c: F.isnan(c["v"]))
+    unresolved = F.transform(open_cells, lambda c: F.get(labels, c["__pos"]))
     return grid.select(F.col("__id").alias(id_col), F.col("__time").alias(time_col), *columns, unresolved.alias("unresolved"))
 
 
