@@ -21,29 +21,57 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def roads_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Roads, once each, with lanes and width filled by road class, route, stretch and year."""
-    roads = table(spark, d, "roads").drop("loaded_at").dropDuplicates(["id"])
+def _roads(spark: SparkSession, d: str) -> DataFrame:
+    """Roads, distinct records, with their class and the place where they start."""
     start = point_xy(F.col("geometry"))
-    roads = (
-        roads.withColumn("p", start)
-        .withColumn("road_class", F.substring("road_no", 1, 1))
-        .withColumn("stretch", F.when(F.col("p.x").isNotNull(), F.concat_ws("_", F.round("p.x").cast("bigint"), F.round("p.y").cast("bigint"))))
-        .drop("p", "geometry")
-    )
-    levels = [["road_class"], ["road_no"], ["road_no", "stretch"]]
-    return fill_missing(cut_lineage(roads), [LANES, WIDTH], levels, time="year")
+    roads = table(spark, d, "roads").drop("loaded_at").withColumn("p", start)
+    stretch = F.when(F.col("p.x").isNotNull(), F.concat_ws("_", F.round("p.x").cast("bigint"), F.round("p.y").cast("bigint")))
+    roads = roads.withColumn("road_class", F.substring("road_no", 1, 1)).withColumn("stretch", stretch).drop("p", "geometry")
+    return cut_lineage(roads.distinct())
 
 
-def elevation_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Elevation cells, once each, with values filled from ever smaller surroundings of the same surface."""
-    cells = table(spark, d, "aoi_elevation").drop("geometry").dropDuplicates(["cell_id"])
+def _fill_roads(roads: DataFrame) -> DataFrame:
+    return fill_missing(roads, [LANES, WIDTH], [["road_class"], ["road_no"], ["stretch"]], time="year")
+
+
+def roads_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Lanes and width filled by road class, route, stretch and year."""
+    return _fill_roads(_roads(spark, d))
+
+
+def _elevation_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(table(spark, d, "aoi_elevation").drop("geometry").distinct())
+
+
+def _fill_elevation(cells: DataFrame) -> DataFrame:
     levels = [["elev_type"]]
+    made = {}
     for side in (7680, 1920, 480, 120):
-        for axis in "xy":
-            cells = cells.withColumn(f"{axis}_{side}", F.floor(F.col(f"{axis}min") / side))
-        levels.append(["elev_type", f"x_{side}", f"y_{side}"])
-    return fill_missing(cut_lineage(cells), [ELEVATION], levels, rounds=1)
+        made |= {f"{axis}_{side}": F.floor(F.col(f"{axis}min") / side) for axis in "xy"}
+        levels.append([f"x_{side}", f"y_{side}"])
+    return fill_missing(cells.withColumns(made), [ELEVATION], levels)
+
+
+def elevation_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct elevation cells with values filled from ever smaller surroundings of the same surface."""
+    return _fill_elevation(_elevation_cells(spark, d))
+
+
+def p1_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """How well known values are met when they are hidden: each tenth of them by a hash of the record, for every field."""
+    out = None
+    for name, rows, fill, fields in (
+        ("roads", _roads(spark, d), _fill_roads, (LANES, WIDTH)),
+        ("aoi_elevation", _elevation_cells(spark, d), _fill_elevation, (ELEVATION,)),
+    ):
+        for f in fields:
+            hide = f.usable() & (F.pmod(F.xxhash64(*[c for c in rows.columns if c != f.column]), F.lit(10)) == 0)
+            hidden = rows.withColumn("known", F.when(hide, F.col(f.column))).withColumn(f.column, F.when(~hide, F.col(f.column)))
+            met = fill(hidden).where("known is not null").withColumn("off", F.abs(F.col("known") - F.col(f"{f.column}_value")))
+            own = met.agg(F.count("*").alias("n_hidden"), F.avg((F.col("off") == 0).cast("int")).alias("share_equal"), F.avg("off").alias("mean_error"), F.stddev("known").alias("spread"))
+            own = own.select(F.lit(name).alias("tbl"), F.lit(f.column).alias("field"), "*")
+            out = own if out is None else out.unionByName(own)
+    return out
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +167,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_roads": p1_roads,
     "p1_elevation": p1_elevation,
+    "p1_held_out": p1_held_out,
     "p3_found": p3_found,
     "p3_wide": p3_wide,
     "p3_profile": p3_profile,
