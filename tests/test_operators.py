@@ -3,13 +3,14 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import wkb
 from geoloom.operators import chunking
 from geoloom.operators.fill import Categorical, Numeric, fill_missing, filled_cells
-from geoloom.operators.locate import containing, distinct_points, pairs_within
+from geoloom.operators.locate import _batches_of, containing, distinct_points, pairs_within
 from geoloom.operators.spatial import box_join, buffers, nearest, row_ids
 from geoloom.operators.wide import attribute_key, to_wide, unresolved_cells
 
@@ -47,6 +48,14 @@ def test_wide(spark):
     assert len(got) == 7
     assert (1, "N_Bus", 0) in {tuple(r) for r in unresolved_cells(w).collect()}
     assert wide_of(spark, []).count() == 0
+    many = [("a", "double")] * 5001 + [("b", "int")]
+    assert to_wide(spark.createDataFrame([(1, "b", 1, 2.0, "", 1)], ROWS), spark.createDataFrame(many, "varname string, value_type string")).columns == ["id", "year", "a", "b", "unresolved"]
+    with pytest.raises(ValueError, match="two types"):
+        wide_of_two = spark.createDataFrame([("a", "int"), ("a", "double")], "varname string, value_type string")
+        to_wide(spark.createDataFrame([(1, "a", 1, 2.0, "", 1)], ROWS), wide_of_two)
+    wide = [(f"v{k:03d}", "double") for k in range(200)]  # several words of the mask
+    got = to_wide(spark.createDataFrame([(1, f"v{k:03d}", 1, float(k), "", 1) for k in (0, 61, 62, 63, 124, 199)], ROWS), spark.createDataFrame(wide, "varname string, value_type string")).first()
+    assert {k: got[f"v{k:03d}"] for k in range(200) if got[f"v{k:03d}"] is not None} == {k: float(k) for k in (0, 61, 62, 63, 124, 199)}
     empty = to_wide(spark.createDataFrame([(1, "a", 1, 1.0, "", 1)], ROWS), spark.createDataFrame([], "varname string, value_type string"))
     assert [tuple(r) for r in empty.collect()] == [(1, 1, [])]
 
@@ -76,6 +85,15 @@ def test_fill_accuracy_and_marks(spark):
     assert cells.count() == 2 * (len(filled) + 1) and cells.columns == ["tbl", "row_id", "field"]
 
 
+def test_rarely_seen_groups_fall_back(spark):
+    rows = [(i, "a", f"r{i % 7}", 2000 + i % 2, 10.0 + i % 7, 300 if i % 7 < 4 else 301) for i in range(200)]
+    rows += [(900, "a", "new", 2000, None, None), (901, "a", None, None, None, None), (902, None, "r1", 2000, None, None), (903, "a", "r2", 2001, None, None)]
+    df = spark.createDataFrame(rows, "id long, kind string, route string, year int, v double, k int")
+    out = {r.id: r for r in fill_missing(df, [Numeric("v", 0, 99), Categorical("k", 0, 400)], [["kind"], ["route"]], time="year").collect()}
+    assert abs(out[903].v_value - 12) < 0.2 and out[903].k_value == 300  # more classes than any group has seen
+    assert all(12 < out[i].v_value < 14 for i in (900, 901, 902)) and len(out) == 204
+
+
 def test_fill_without_data(spark):
     df = spark.createDataFrame([(1, "a", None), (2, None, math.nan)], "id long, g string, v double")
     out = fill_missing(df, [Numeric("v", 0, 1)], [["g"]]).collect()
@@ -124,6 +142,18 @@ def test_containing_against_brute_force(spark):
     assert locate(spark, [(k, wkb.encode_polygon(r)) for k, r in polygons], points) == want
 
 
+def test_slabs_stay_small():
+    turns = np.linspace(0, 2 * math.pi, 8001)[:-1]
+    reach = 6500 + 50 * np.sin(40 * turns)
+    ring = np.column_stack([reach * np.cos(turns), reach * np.sin(turns)])
+    geometry = pa.array([wkb.encode_polygon([*ring, ring[0]])], pa.binary())
+    slabs = pa.Table.from_batches(_batches_of(pa.array(["r"]), geometry, 1e-6)).to_pylist()
+    edges = [len(r["ax"]) for r in slabs]
+    assert max(edges) <= 16 and sum(edges) < 10 * len(ring) and len(slabs) < 4 * len(ring)
+    wide = [r["level"] for r in slabs if r["ax"]]
+    assert sum(w > 3 for w in wide) < len(wide) / 50  # cells that edges enter are small, but for those barely entered
+
+
 def test_points(spark):
     rows = [(1, wkb.encode_point(0, 0)), (1, wkb.encode_point(0, 0)), (2, wkb.encode_point(15, 20)), (3, wkb.encode_point(0, 0)), (4, None), (5, wkb.encode_point(math.nan, math.nan)), (None, wkb.encode_point(0, 0)), (6, wkb.encode_point(40, 20.5))]
     df = spark.createDataFrame([(i, bytearray(g) if g else None, "c") for i, g in rows], "id long, geometry binary, x string")
@@ -155,6 +185,11 @@ def test_box_join_and_nearest(spark):
         for year in (2000, 2001):
             assert abs(got[i, year] - min(away(x, y, a) for a in segs if a[0] == year)) < 1e-6
     assert nearest(p, s.limit(0), ["year"]).count() == 0
+    # One far feature, a crowd of features in one cell, and points without coordinates.
+    crowd = [(2000, 100 + k * 0.01, 5.0, 100 + k * 0.01, 5.0) for k in range(3000)] + [(2001, 9e6, 0.0, 9e6, 1.0)] * 2
+    odd = spark.createDataFrame([(1, 0.0, 5.0), (2, -8e6, 5.0), (3, None, 1.0), (4, math.nan, 1.0), (5, 110.004, 5.0)], "id long, x double, y double")
+    found = {(r.id, r.year): round(r.distance, 3) for r in nearest(odd, spark.createDataFrame(crowd, s.schema), ["year"]).collect()}
+    assert found == {(1, 2000): 100.0, (2, 2000): 8000100.0, (5, 2000): 0.004, (1, 2001): 9000000.0, (2, 2001): 17000000.0, (5, 2001): 8999889.996}
 
     boxed = s.withColumns({f"r{a}{k}": f(f"{a}1", f"{a}2") for a in "xy" for k, f in ((0, F.least), (1, F.greatest))})
     pairs = box_join(buffers(p, [100.0, 4000.0]), boxed).count()
