@@ -27,7 +27,7 @@ def pivoted(long: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def attached(attributes: DataFrame, result: DataFrame, key: str) -> DataFrame:
-    """Attributes with their results; result columns whose name is taken get a trailing ``_``.
+    """Attributes with their results, in order of number, year and variable; result columns whose name is taken get a trailing ``_``.
 
     ``key`` is the attributes' hidden row number. Rows without results stay. The
     number comes out as ``id`` unless the attributes have a column of that name.
@@ -37,7 +37,7 @@ def attached(attributes: DataFrame, result: DataFrame, key: str) -> DataFrame:
     right = result.select(*[F.col(c).alias(n) for c, n in renamed.items()])
     joined = attributes.join(right, attributes[key] == right[renamed["id"]], "left")
     out = [c for c in joined.columns if c not in (key, "id_")]
-    order = [F.col(key)] + ([F.asc_nulls_last("year")] if "year" in [c.lower() for c in joined.columns] else [])
+    order = [F.col(key), *[F.asc_nulls_last(renamed[c]) for c in ("year", "varname") if c in renamed]]
     if renamed["id"] == "id":
         joined = joined.withColumn("id", F.col(key))
     return joined.orderBy(*order).select(*out)
