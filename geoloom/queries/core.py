@@ -87,6 +87,18 @@ def p1_elevation(spark: SparkSession, d: str) -> DataFrame:
     return elevation_filled(spark, d).select("cell_id", "elev_type", "value_value", "value_filled")
 
 
+def p1_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Marks of every record, and its values where they were measured."""
+    roads, cells = roads_filled(spark, d), elevation_filled(spark, d)
+    kept = lambda c: F.when(~F.col(f"{c}_filled"), F.col(f"{c}_value"))
+    rows = [
+        df.where(F.col(key).isNotNull()).select(F.lit(name).alias("tbl"), F.col(key).alias("row_id"), F.lit(c).alias("field"), F.col(f"{c}_filled").alias("filled"), kept(c).alias("measured"))
+        for df, key, name, fields in ((roads, "id", "roads", ("lanes", "width")), (cells, "cell_id", "aoi_elevation", ("value",)))
+        for c in fields
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).distinct()
+
+
 def wide(spark: SparkSession, d: str) -> DataFrame:
     return to_wide(table(spark, d, "result_df"), table(spark, d, "geovar_types"))
 
@@ -141,6 +153,14 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide(spark, d)
 
 
+def p3_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the wide table, of all attributes, as a row again."""
+    w = wide(spark, d)
+    names = [c for c in w.columns if c not in ("id", "year", "unresolved")]
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("varname"), F.col(n).cast("double").alias("value")) for n in names]))
+    return w.select("id", "year", cells.alias("c")).select("id", "year", "c.varname", "c.value").where("value is not null")
+
+
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     """Checks every row of the wide table through sums per year over the eight attributes of ``_ATTRIBUTES``.
 
@@ -168,8 +188,10 @@ QUERIES = {
     "p1_roads": p1_roads,
     "p1_elevation": p1_elevation,
     "p1_held_out": p1_held_out,
+    "p1_measured": p1_measured,
     "p3_found": p3_found,
     "p3_wide": p3_wide,
+    "p3_cells": p3_cells,
     "p3_profile": p3_profile,
     "p4_found": p4_found,
 }
@@ -185,4 +207,13 @@ ORACLES = {
       select distinct id, name as varname, coalesce(year, 0) as year from cells
       where name is not null and lo is not null and (bad or hi - lo > 0.001)""",
     "p3_profile": _profile_sql(),
+    "p3_cells": f"with {_CELLS} select id, year, name as varname, lo as value from cells where name is not null and lo is not null and not bad and hi - lo <= 0.001",
+    "p1_measured": " union ".join(
+        f"select '{t}' as tbl, {key} as row_id, '{c}' as field, ({bad}) as filled, case when not ({bad}) then {c} end as measured from {t} where {key} is not null"
+        for t, key, c, bad in (
+            ("roads", "id", "lanes", f"{_BAD.format(c='lanes', lo=1, hi=16)} or lanes <> floor(lanes)"),
+            ("roads", "id", "width", _BAD.format(c="width", lo=1.5, hi=80)),
+            ("aoi_elevation", "cell_id", "value", _BAD.format(c="value", lo=-50, hi=2500)),
+        )
+    ),
 }
