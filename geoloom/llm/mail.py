@@ -78,9 +78,11 @@ def _split_header(text: str) -> tuple[dict[str, str] | None, str]:
 def _decoded(body: str, fields: dict[str, str]) -> str:
     how = fields.get("content-transfer-encoding", "").lower()
     if "base64" in how:
-        kept = re.sub(r"[^A-Za-z0-9+/]", "", body.split("=")[0] if "=" in body else body)
+        # Padding may end a piece in the middle, where encoded pieces were strung together.
+        pieces = [re.sub(r"[^A-Za-z0-9+/]", "", p) for p in body.split("=")]
+        pieces = [p[: len(p) - (len(p) % 4 == 1)] for p in pieces]
         try:
-            data = base64.b64decode(kept[: len(kept) - (len(kept) % 4 == 1)] + "=" * (-len(kept) % 4))
+            data = b"".join(base64.b64decode(p + "=" * (-len(p) % 4)) for p in pieces)
         except (binascii.Error, ValueError):
             return body
     elif "quoted-printable" in how:
@@ -118,30 +120,30 @@ def body(text: str) -> str:
     fields, rest = _split_header(text.lstrip("﻿\n"))
     if fields is None:
         return text
-    plain, rich = _texts(fields, rest, 0)
+    plain, rich = _texts(fields, rest)
     return "\n\n".join(plain or rich)
 
 
-def _texts(fields: dict[str, str], rest: str, depth: int) -> tuple[list[str], list[str]]:
-    kind = fields.get("content-type", "text/plain").lower()
-    if depth < 8 and kind.startswith("multipart/") and (m := _BOUNDARY.search(fields["content-type"])):
-        plain: list[str] = []
-        rich: list[str] = []
-        for part in _parts(rest, m[1]):
-            if part.startswith("\n"):
-                own, inner = {}, part[1:]
-            else:
-                own, inner = _split_header(part)
-            p, r = _texts(own or {}, inner, depth + 1)
-            plain += p
-            rich += r
-        return plain, rich
-    if "attachment" in fields.get("content-disposition", "").lower() or not kind.startswith(("text/", "multipart/")):
-        return [], []
-    decoded = _decoded(rest, fields).replace("\r\n", "\n").replace("\r", "\n")
-    if kind.startswith("text/html"):
-        return [], [html.unescape(_TAG.sub(" ", _BREAK.sub("\n\n", decoded)))]
-    return [decoded], []
+def _texts(fields: dict[str, str], rest: str) -> tuple[list[str], list[str]]:
+    """Plain and HTML texts in their order, however deep multiparts are nested."""
+    plain: list[str] = []
+    rich: list[str] = []
+    todo = [(fields, rest)]
+    while todo:
+        fields, rest = todo.pop()
+        kind = fields.get("content-type", "text/plain").lower()
+        if kind.startswith("multipart/") and (m := _BOUNDARY.search(fields["content-type"])) and (found := _parts(rest, m[1])) != [rest]:
+            split = [({}, part[1:]) if part.startswith("\n") else _split_header(part) for part in found]
+            todo += [(own or {}, inner) for own, inner in reversed(split)]
+            continue
+        if "attachment" in fields.get("content-disposition", "").lower() or not kind.startswith(("text/", "multipart/")):
+            continue
+        decoded = _decoded(rest, fields).replace("\r\n", "\n").replace("\r", "\n")
+        if kind.startswith("text/html"):
+            rich.append(html.unescape(_TAG.sub(" ", _BREAK.sub("\n\n", decoded))))
+        else:
+            plain.append(decoded)
+    return plain, rich
 
 
 def _prose(line: str) -> bool:

@@ -67,6 +67,11 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe(grid_clusters(table(spark, d, "centroid_df"), LINK), at_least=3)
 
 
+def p5_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of the same clusters."""
+    return p5_clusters(spark, d).select("cluster_id", "size")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -126,6 +131,7 @@ QUERIES = {
     "p2_within_bound": p2_within_bound,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p5_sizes": p5_sizes,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_bins": p7_bins,
@@ -148,6 +154,12 @@ ORACLES = {
       s as (select id, list(other order by other) as near, min(other) as cluster_id, count(*) as k from n group by id),
       g as (select near, count(*) as members from s group by near)
       select cluster_id, id from s join g using (near) where members = k and k >= 3""",
+    "p5_sizes": f"""
+      with recursive p as (select distinct id, x, y from centroid_df where id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)),
+      n as materialized (select distinct a.id, b.id as other from p a join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {LINK * LINK}),
+      reach as (select id, other from n union select reach.id, n.other from reach join n on n.id = reach.other),
+      c as (select id, min(other) as cluster_id from reach group by id)
+      select cluster_id, count(*) as size from c group by cluster_id having count(*) >= 3""",
     "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
     "p7_sound": "select container, (select count(*) from documents) as n_docs, 0 as n_over, 0 as n_needless, 0 as n_gaps from containers",
 }

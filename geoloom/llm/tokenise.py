@@ -9,7 +9,9 @@ moves once per block, never once per occurrence, and no table of words is
 broadcast or collected.
 
 The blocks are made twice, for words and for positions; both passes must see the
-rows in the same order, so the input must be replayable (a table scan is).
+rows in the same order, so the input must be replayable (a table scan is). Each
+pass states a hash of its block's words, and if they differ the job fails rather
+than give wrong ids.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +86,12 @@ def _ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[
     return values[np.cumsum(step)], length
 
 
+def _check(words: pa.Array) -> int:
+    """Hash of a list of words."""
+    words = words.cast(pa.binary())
+    return xxhash.xxh64_intdigest(b"".join(bytes(memoryview(b)) for b in words.buffers()[1:] if b is not None)) >> 1 if len(words) else 0
+
+
 def _words(block_bytes: int):
     def run(batches):
         for block, rows in blocks(batches, block_bytes):
@@ -90,7 +99,8 @@ def _words(block_bytes: int):
             distinct = words.dictionary_encode().dictionary.cast(pa.binary())
             n = len(distinct)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), distinct], ["block", "word_no", "word"]
+                [pa.array(np.full(n, block)), pa.array(np.full(n, _check(distinct))), pa.array(np.arange(n, dtype=np.int32)), distinct],
+                ["block", "check", "word_no", "word"],
             )
 
     return run
@@ -100,9 +110,11 @@ def _positions(block_bytes: int):
     def run(batches):
         for block, rows in blocks(batches, block_bytes):
             words, offsets = split(rows["text"])
-            index = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+            coded = words.dictionary_encode()
+            index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
             lists = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(index)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), rows["doc_id"], lists], ["block", "doc_id", "positions"])
+            checks = pa.array(np.full(len(rows), _check(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block)), checks, rows["doc_id"], lists], ["block", "check", "doc_id", "positions"])
 
     return run
 
@@ -118,15 +130,15 @@ def _encode(path: str):
                 if own != word:
                     word, ids = own, np.array(encode(own), np.int32).tobytes()
                 packed.append(ids)
-            block, no = batch["block"].to_numpy(), batch["word_no"].to_numpy()
+            block, no, check = (batch[c].to_numpy() for c in ("block", "word_no", "check"))
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order], prepend=block[order[:1]] - 1))
             out: list[tuple] = []
             for own in np.split(order, cuts[1:]):
                 lists = [packed[i] for i in own]
-                out.append((int(block[own[0]]), no[own].tobytes(), np.array([len(x) // 4 for x in lists], np.int32).tobytes(), b"".join(lists)))
+                out.append((int(block[own[0]]), int(check[own[0]]), no[own].tobytes(), np.array([len(x) // 4 for x in lists], np.int32).tobytes(), b"".join(lists)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "word_no", "sizes", "ids"]
+                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "check", "word_no", "sizes", "ids"]
             )
 
     return run
@@ -143,7 +155,8 @@ def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
     row_of = np.full(len(no), -1, np.int64)
     row_of[no] = np.arange(len(no))
     positions = _joined_bytes(docs["positions"])
-    if len(positions) and (positions.max() >= len(no) or row_of.min() < 0):
+    checks = {*words["check"].unique().to_pylist(), *docs["check"].unique().to_pylist()}
+    if len(positions) and (len(checks) != 1 or positions.max() >= len(no) or row_of.min() < 0):
         raise ValueError("the two passes over the texts saw different rows; write the input to a table first")
     values, length = _ragged(ids, offsets, row_of[positions])
     per_doc = np.zeros(len(docs) + 1, np.int64)
@@ -165,13 +178,13 @@ def encode_corpus(
     """
     path = path or tokenizer_path()
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = docs.mapInArrow(_words(block_bytes), "block long, word_no int, word binary")
+    words = docs.mapInArrow(_words(block_bytes), "block long, check long, word_no int, word binary")
     encoded = (
         words.repartition("word")
         .sortWithinPartitions("word")
-        .mapInArrow(_encode(path), "block long, word_no binary, sizes binary, ids binary")
+        .mapInArrow(_encode(path), "block long, check long, word_no binary, sizes binary, ids binary")
     )
-    positions = docs.mapInArrow(_positions(block_bytes), "block long, doc_id long, positions binary")
+    positions = docs.mapInArrow(_positions(block_bytes), "block long, check long, doc_id long, positions binary")
     return encoded.groupBy("block").cogroup(positions.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 

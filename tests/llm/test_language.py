@@ -1,5 +1,6 @@
 import base64
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -27,7 +28,8 @@ def text(rnd, lang, n=3):
 def test_labels():
     assert L.label_codes("en-GB") == L.label_codes(" EN ") == L.label_codes("eng") == L.label_codes("English") == {"en"}
     assert L.label_codes("de;en,ko") == {"de", "en", "ko"} and L.label_codes("fre/ger") == {"fr", "de"}
-    assert L.label_codes(None) == L.label_codes("?") == L.label_codes("unknown") == L.label_codes("da") == set()
+    assert L.label_codes(None) == L.label_codes("?") == L.label_codes("unknown") == L.label_codes("xx") == set()
+    assert L.label_codes("da") == {"da"}  # a language, whether or not the corpus has it
 
 
 def test_names_agree_with_labels(spark):
@@ -51,6 +53,16 @@ def test_mail():
     assert sentences("The set (no. 31537) was sent. It was nr. 5 of all.") == 2 and sentences("Str. 95 Tel. +00 12") == 0
 
 
+def test_strung_base64_and_deep_parts():
+    pieces = [base64.b64encode(x.encode()).decode() for x in ("One sentence he", "re. Two there", ". And three.")]
+    assert any(p.endswith("=") for p in pieces[:-1])
+    assert body("From: a\nTo: b\nContent-Transfer-Encoding: base64\nContent-Type: text/plain\n\n" + "\n".join(pieces)) == "One sentence here. Two there. And three."
+    mail = "Content-Type: text/plain\n\nFound. At last."
+    for k in range(1500):
+        mail = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\n{mail}\n--b{k}x--"
+    assert body("From: a\nTo: b\n" + mail).strip() == "Found. At last."
+
+
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -104,6 +116,33 @@ def test_spans_keep_their_places(spark, found):
     assert {tuple(r) for r in L.unnamed_languages(one, spans).collect()} == {(1, "en")}
 
 
+def test_other_scripts_and_false_labels(spark, found):
+    docs, rows, _ = found
+    rnd = random.Random(8)
+    wrong = ["es", "de", "fr", "sv", "es", "ko"]
+    false = [(2000 + k, text(rnd, wrong[k % 6], 6), "ca", 1) for k in range(12)]  # a label that no text deserves
+    more = [(3000, "Порт был закрыт из-за ветра. Никто не мог уехать.", None, 1), (3001, "Το λιμάνι ήταν κλειστό. Κανείς δεν έφυγε.", None, 1)]
+    more += [(3002, "みなと は しまっていた。 だれも でられなかった。 まだ まっている。", None, 1)]
+    every = spark.createDataFrame([r for r in rows if r[0] != 504] + false + more, docs.schema)
+    model = L.train(every.withColumnRenamed("lang", "label"))
+    assert model.codes == ("de", "en", "es", "fr", "ko", "sv", "und")
+    spans = L.segments(every, model=model)
+    got = {r.doc_id: r.lang for r in L.document_languages(every, spans).collect()}
+    assert (got[3000], got[3001], got[3002]) == ("und", "el", "ja") and [got[2000 + k] for k in range(12)] == wrong * 2
+    assert {tuple(r) for r in L.unnamed_languages(every, spans).where("doc_id >= 3000").collect()} == {(3001, "el"), (3002, "ja")}
+
+
+def test_one_long_text_among_many():
+    k, sizes = 9, np.array([200_000] + [3] * 3000)
+    offsets = np.append(0, np.cumsum(sizes))
+    scores = np.zeros((offsets[-1], k), np.float32)
+    scores[:, 4] = 1
+    tracemalloc.start()
+    assert (L.viterbi(scores, offsets, np.full(len(scores), 5, np.float32)) == 4).all()
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(scores)
+    tracemalloc.stop()
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "항구는 닫혔습니다. 아무도 없습니다.", None)], "doc_id long, text string, lang string")
     assert {tuple(r) for r in L.unnamed_languages(docs, L.segments(docs)).collect()} == {(1, "ko")}

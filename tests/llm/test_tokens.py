@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from geoloom.llm.packing import best_fit_decreasing, fill_report, pack  # noqa: E402
 from geoloom.llm.pretokens import split  # noqa: E402
-from geoloom.llm.tokenise import decode_corpus, encode_corpus, token_counts  # noqa: E402
+from geoloom.llm.tokenise import _assemble, decode_corpus, encode_corpus, token_counts  # noqa: E402
 
 ALPHABET = "ab'stredvlmS  \n\t\r 12.,-!é한字²٣  \u0085 😀\"_"
 
@@ -51,6 +51,14 @@ def test_encode_decode(docs, block_bytes):
     assert counts == sorted((i, len(x)) for i, x in want)
 
 
+def test_differing_passes_fail():
+    words = pa.table({"block": [1], "check": [5], "word_no": [np.int32([0]).tobytes()], "sizes": [np.int32([1]).tobytes()], "ids": [np.int32([9]).tobytes()]})
+    docs = pa.table({"block": [1], "check": [5], "doc_id": [3], "positions": [np.int32([0, 0]).tobytes()]})
+    assert _assemble(words, docs).to_pylist() == [{"doc_id": 3, "ids": [9, 9]}]
+    with pytest.raises(ValueError, match="different rows"):
+        _assemble(words, docs.set_column(1, "check", pa.array([6])))
+
+
 def test_encode_nothing(docs):
     assert encode_corpus(docs.limit(0)).count() == 0 and decode_corpus(encode_corpus(docs.limit(0))).count() == 0
 
