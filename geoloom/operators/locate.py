@@ -286,7 +286,11 @@ def _inside(px: Column, py: Column, tolerance: float) -> Column:
     found = F.aggregate(
         steps, start, step, lambda s: ((s["lo"] + F.col("below")) % 2 == 1) | F.coalesce(F.abs(rise(s["lo"])) <= tolerance, F.lit(False))
     )
-    return F.when(n == 0, F.col("below") == 1).otherwise(found)
+    # Most slabs have two edges, between which a search is two comparisons.
+    first, second = rise(F.lit(0)), rise(F.lit(1))
+    odd = F.col("below") == 1
+    pair = F.when(first <= tolerance, odd | (first >= -tolerance)).when(second <= tolerance, ~odd | (second >= -tolerance)).otherwise(odd)
+    return F.when(n == 0, odd).when(n == 2, pair).otherwise(found)
 
 
 def _cell(v: Column, side: Column | float) -> Column:
