@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 
 #: Rows that a task sorts at once.
 BUFFER_ROWS = 1 << 20
-#: Summaries of one group that one task merges; more are merged in two steps.
-FAN_IN = 1024
+#: Values in summaries that a task holds before it sends them on.
+HELD_VALUES = 4 << 20
+#: Slots in which the tasks' summaries of a group are merged first, so that no task merges all of a hot group.
+SLOTS = 32
+#: Summaries that are merged at a time.
+AT_ONCE = 64
 
 Summary = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
@@ -54,11 +58,6 @@ def merge(summaries: Sequence[Summary]) -> Summary:
     return sum(s[0] for s in summaries), v, le, lt
 
 
-def uncertainty(s: Summary) -> int:
-    """Largest number of values that may lie between two neighbours."""
-    return int(np.max(s[3][1:] - s[2][:-1], initial=0))
-
-
 def query(s: Summary, p: float) -> tuple[float, int]:
     """The value whose rank is surely nearest to ceil(p * n), and how many ranks it may be off."""
     n, v, le, lt = s
@@ -70,21 +69,38 @@ def query(s: Summary, p: float) -> tuple[float, int]:
     return float(v[best]), off(best)
 
 
+def _pack_rising(a: np.ndarray) -> bytes:
+    """A rising array as its steps, in as few bytes each as they need."""
+    step = np.diff(a, prepend=0)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or step.max(initial=0) < 1 << 8 * w)
+    return bytes([width]) + step.astype(f"<u{width}").tobytes()
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64))
+
+
 def _pack(s: Summary) -> tuple[int, bytes, bytes, bytes]:
-    return s[0], s[1].tobytes(), s[2].tobytes(), s[3].tobytes()
+    return s[0], s[1].tobytes(), _pack_rising(s[2]), _pack_rising(s[3])
 
 
 def _unpack(n: int, v: bytes, le: bytes, lt: bytes) -> Summary:
-    return n, np.frombuffer(v, np.float64), np.frombuffer(le, np.int64), np.frombuffer(lt, np.int64)
+    return n, np.frombuffer(v, np.float64), _unpack_rising(le), _unpack_rising(lt)
 
 
 _FIELDS = [("n", pa.int64()), ("v", pa.binary()), ("le", pa.binary()), ("lt", pa.binary())]
 
 
-def _leaf(by: int, eps: float, levels: int):
-    """Exact summaries of a buffer's groups, compressed once."""
+def _rows(keys: Sequence[tuple], kinds: Sequence[tuple[str, pa.DataType]], summaries: Sequence[Summary]) -> pa.RecordBatch:
+    columns = zip(*[(*key, *_pack(s)) for key, s in zip(keys, summaries)])
+    named = [*kinds, *_FIELDS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, named)], [n for n, _ in named])
+
 
-    def flush(keys: pa.Table, values: np.ndarray, part: int) -> pa.RecordBatch:
+def _leaf(eps: float, levels: int):
+    """Summaries of a task's groups, compressed once per buffer; buffers of the same group are merged before they leave the task."""
+
+    def exact(keys: pa.Table, values: np.ndarray) -> Iterator[tuple[tuple, Summary]]:
         codes = np.zeros(len(values), np.int64)
         for name in keys.column_names:
             c = keys[name].combine_chunks().dictionary_encode("encode")
@@ -97,62 +113,80 @@ def _leaf(by: int, eps: float, levels: int):
         ends = np.append(group[1:], len(values))
         cut = np.searchsorted(new, np.append(group, len(values)))
         until = np.append(new[1:], len(values))
-        out = []
-        for k in range(len(group)):
+        firsts = keys.take(pa.array(order[group])).to_pydict()
+        for k, key in enumerate(zip(*firsts.values()) if firsts else [()]):
             own = slice(cut[k], cut[k + 1])
-            first = group[k]
-            n = int(ends[k] - first)
-            out.append(_pack(compress((n, values[new[own]], until[own] - first, new[own] - first), 2 * int(eps * n / levels))))
-        columns = [keys[c].combine_chunks().take(pa.array(order[group])) for c in keys.column_names]
-        columns.append(pa.array(np.full(len(group), part), pa.int64()))
-        columns += [pa.array(c, t) for c, (_, t) in zip(zip(*out), _FIELDS)]
-        return pa.RecordBatch.from_arrays(columns, [*keys.column_names, "part", *(f for f, _ in _FIELDS)])
+            yield key, (int(ends[k] - group[k]), values[new[own]], until[own] - group[k], new[own] - group[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        part, held, rows = task.partitionId() if task else 0, [], 0
+        slot = (task.partitionId() if task else 0) % SLOTS
+        held: dict[tuple, Summary] = {}
+        waiting, rows, kinds = [], 0, []
+
+        def take() -> None:
+            t = pa.Table.from_batches(waiting)
+            for key, s in exact(t.drop_columns(["__value"]), t["__value"].to_numpy()):
+                s = merge([held[key], s]) if key in held else s
+                held[key] = compress(s, 2 * int(eps * s[0] / levels))
+            waiting.clear()
+
+        def out() -> pa.RecordBatch:
+            batch = _rows([(*key, slot) for key in held], [*kinds, ("slot", pa.int64())], list(held.values()))
+            held.clear()
+            return batch
+
         for batch in batches:
-            held.append(batch)
+            kinds = [(f.name, f.type) for f in batch.schema if f.name != "__value"]
+            waiting.append(batch)
             rows += len(batch)
             if rows >= BUFFER_ROWS:
-                t = pa.Table.from_batches(held)
-                yield flush(t.drop_columns(["__value"]), t["__value"].to_numpy(), part)
-                held, rows = [], 0
+                take()
+                rows = 0
+                if sum(len(s[1]) for s in held.values()) > HELD_VALUES:
+                    yield out()
         if rows:
-            t = pa.Table.from_batches(held)
-            yield flush(t.drop_columns(["__value"]), t["__value"].to_numpy(), part)
+            take()
+        if held:
+            yield out()
 
     return run
 
 
 def _merge_sorted(by: Sequence[str], share: float):
-    """Summaries arrive ordered by their group; each group is merged as its last one is read."""
+    """Summaries arrive ordered by their group; each group is merged, a few at a time, until its last one is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, done, schema = None, [], [], None
+        key, held, keys, done, kinds = None, [], [], [], []
 
-        def finish() -> None:
+        def merged() -> Summary:
+            # What several mergers of one level may add up to is what one of them may, since allowances add up.
             s = merge(held)
-            done.append((*key, *_pack(compress(s, 2 * int(share * s[0])))))
+            return compress(s, 2 * int(share * s[0]))
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*done), [*(schema.field(c).type for c in by), *(t for _, t in _FIELDS)])]
+            batch = _rows(keys, kinds, done)
+            keys.clear()
             done.clear()
-            return pa.RecordBatch.from_arrays(columns, [*by, *(f for f, _ in _FIELDS)])
+            return batch
 
         for batch in batches:
-            schema = batch.schema
+            kinds = [(c, batch.schema.field(c).type) for c in by]
             columns = [batch[c].to_pylist() for c in (*by, *(f for f, _ in _FIELDS))]
             for row in zip(*columns):
                 if held and row[: len(by)] != key:
-                    finish()
+                    keys.append(key)
+                    done.append(merged())
                     held = []
                 key = row[: len(by)]
                 held.append(_unpack(*row[len(by) :]))
+                if len(held) >= AT_ONCE:
+                    held = [merged()]
             if len(done) >= 256:
                 yield out()
         if held:
-            finish()
+            keys.append(key)
+            done.append(merged())
         if done:
             yield out()
 
@@ -170,22 +204,12 @@ _SUMMARY = "n long, v binary, le binary, lt binary"
 def summarise(df: DataFrame, by: Sequence[str], value: str, *, eps: float = 0.001, levels: int = 4) -> DataFrame:
     """One summary per group: ``by`` columns, n, v, le, lt; mergeable by ``combine`` up to ``levels`` levels in all.
 
-    Takes two of the levels, or three if the input has more tasks than FAN_IN.
+    Takes three of the levels at any size: tasks, slots of tasks, groups.
     """
     number = F.col(value).cast("double")
     rows = df.select(*by, number.alias("__value")).where(number.isNotNull() & ~F.isnan(number))
-    ddl = _ddl(df, by)
-    leaves = rows.mapInArrow(_leaf(len(by), eps, levels), f"{ddl}part long, {_SUMMARY}")
-    plan = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    tasks = int(str(plan)) / max(1, int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
-    level = 2
-    if tasks > FAN_IN:
-        keys = [*by, "part"]
-        leaves = leaves.withColumn("part", F.pmod("part", F.lit(FAN_IN)))
-        ordered = leaves.repartition(*map(F.col, keys)).sortWithinPartitions(*map(F.col, keys))
-        leaves = ordered.mapInArrow(_merge_sorted(keys, eps * level / levels), f"{ddl}part long, {_SUMMARY}")
-        level += 1
-    return combine(leaves, by, eps=eps, level=level, levels=levels)
+    leaves = rows.mapInArrow(_leaf(eps, levels), f"{_ddl(df, by)}slot long, {_SUMMARY}")
+    return combine(combine(leaves, [*by, "slot"], eps=eps, level=2, levels=levels), by, eps=eps, level=3, levels=levels)
 
 
 def combine(summaries: DataFrame, by: Sequence[str], *, eps: float = 0.001, level: int, levels: int = 4) -> DataFrame:

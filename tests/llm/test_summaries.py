@@ -119,3 +119,27 @@ def test_described_clusters_are_whole(spark, tmp_path):
     assert got[1]["size"] == 3 and got[10]["size"] == 5 and 30 not in got
     assert all(set(r.typical_ids) <= members[c] for c, r in got.items())
     assert {r.cluster_id for r in p5_found(spark, str(tmp_path)).collect()} <= set(got)
+
+
+def test_plan_does_not_depend_on_the_number_of_tasks(spark):
+    df = spark.range(5000).selectExpr("id % 3 as g", "id % 7 as day", "cast(id as double) as v")
+    plans = []
+    for tasks in (2, 33):
+        rows = df.repartition(tasks)
+        answer = P.grouped_percentiles(rows, ["g"], "v", [0.5], part_by="day")
+        text = answer._jdf.queryExecution().optimizedPlan().toString()
+        plans.append((text.count("MapInArrow"), text.count("RepartitionByExpression")))
+    assert plans[0] == plans[1] == (5, 3)
+
+
+def test_packed_summaries_and_hot_groups(monkeypatch):
+    for a in ([], [0, 0, 3], [5, 260, 70_000], [1 << 40, (1 << 40) + 1]):
+        assert P._unpack_rising(P._pack_rising(np.array(a, np.int64))).tolist() == a
+    rng = np.random.default_rng(3)
+    values, eps = rng.normal(size=200_000), 0.01
+    rows = [(7, *P._pack(P.compress(leaf(v), 2 * int(eps * len(v) / 4)))) for v in np.split(values, 400)]
+    batch = P.pa.RecordBatch.from_arrays([P.pa.array(c) for c in zip(*rows)], ["g", "n", "v", "le", "lt"])
+    (out,) = P._merge_sorted(["g"], eps / 2)(iter([batch]))
+    s = P._unpack(*[out[c][0].as_py() for c in ("n", "v", "le", "lt")])
+    assert s[0] == len(values) and len(s[1]) < 4 / eps
+    assert all(rank_error(values, *P.query(s, p)[:1], p) <= P.query(s, p)[1] <= eps * len(values) for p in PS)
