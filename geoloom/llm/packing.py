@@ -2,8 +2,8 @@
 
 Best-fit decreasing depends only on how many items there are of each size, and
 sizes after splitting are at most the capacity. So the sizes are counted in
-parallel, the packing is decided once on that histogram (at most ``capacity``
-rows, however many items there are), and every item finds its container by its
+parallel, the packing is decided once on that histogram (a row per distinct
+size, however many items there are), and every item finds its container by its
 rank among the items of its size. Equal items go through the decision in runs:
 a run of items fills a run of containers with the same room.
 
@@ -20,8 +20,8 @@ from geoloom.session import cut_lineage
 
 #: Kinds of containers.
 MAX_KINDS = 10_000
-#: Largest sum of capacities; bounds the histogram and the decision on the driver.
-MAX_CAPACITY = 2_000_000
+#: Most distinct sizes over all kinds of containers, which are the histogram that is decided on by the driver.
+MAX_SIZES = 10_000_000
 #: Items that share a size and are ranked in one task, on average.
 RANKED_TOGETHER = 200_000
 #: Runs of the decision that are broadcast; beyond it they are joined by a shuffle.
@@ -29,18 +29,22 @@ MAX_BROADCAST_RUNS = 100_000
 
 
 class Rooms:
-    """Segment tree over remaining capacities 0..capacity; a leaf is set while containers with that room are open."""
+    """Segment tree over remaining capacities 0..capacity; a leaf is set while containers with that room are open.
+
+    Only nodes that are set are kept, so the tree is as large as the open rooms
+    are many, whatever the capacity.
+    """
 
     def __init__(self, capacity: int):
         self.width = 1 << capacity.bit_length()
-        self.tree = bytearray(2 * self.width)
+        self.tree: set[int] = set()
         self.open: dict[int, list[tuple[int, int]]] = {}
 
     def push(self, room: int, first: int, count: int) -> None:
         self.open.setdefault(room, []).append((first, count))
         at = room + self.width
-        while at and not self.tree[at]:
-            self.tree[at] = 1
+        while at and at not in self.tree:
+            self.tree.add(at)
             at >>= 1
 
     def pop(self, room: int) -> tuple[int, int]:
@@ -48,10 +52,10 @@ class Rooms:
         out = runs.pop()
         if not runs:
             at = room + self.width
-            self.tree[at] = 0
-            while at > 1 and not (self.tree[at] or self.tree[at ^ 1]):
+            self.tree.discard(at)
+            while at > 1 and at ^ 1 not in self.tree:
                 at >>= 1
-                self.tree[at] = 0
+                self.tree.discard(at)
         return out
 
     def tightest(self, size: int) -> int | None:
@@ -59,7 +63,7 @@ class Rooms:
         at = size + self.width
         if at >= 2 * self.width:
             return None
-        while not self.tree[at]:
+        while at not in self.tree:
             while at & 1:  # a right child: nothing further right below this parent
                 at >>= 1
             if not at:
@@ -68,7 +72,7 @@ class Rooms:
             if at & (at - 1) == 0:  # wrapped to the next level's first node
                 return None
         while at < self.width:
-            at = 2 * at if self.tree[2 * at] else 2 * at + 1
+            at = 2 * at if 2 * at in self.tree else 2 * at + 1
         return at - self.width
 
 
@@ -109,15 +113,13 @@ def pack(items: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", siz
     Defined cases: items of size 0 or null take no room and go to bin 0; equal
     sizes are ranked by a hash of the item, then by its id; repeated rows are
     items of their own; containers with a null or non-positive capacity, and
-    repeated ones, are ignored; more than ``MAX_KINDS`` kinds raise; empty
-    tables give an empty result; other columns are ignored.
+    repeated ones, are ignored; more than ``MAX_KINDS`` kinds or ``MAX_SIZES``
+    distinct sizes raise; empty tables give an empty result; other columns are ignored.
     """
     rows = containers.select("container", "capacity").where("container is not null and capacity > 0").distinct().limit(MAX_KINDS + 1).collect()
     if len(rows) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     kinds = sorted({(r[0], int(r[1])) for r in rows})
-    if sum(c for _, c in kinds) > MAX_CAPACITY:
-        raise ValueError(f"capacities sum to more than {MAX_CAPACITY}")
     spark = items.sparkSession
     sizes = items.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     kind = F.explode(F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in kinds])) if kinds else None
@@ -134,7 +136,10 @@ def pack(items: DataFrame, containers: DataFrame, *, id_col: str = "doc_id", siz
 
     histogram: dict[str, dict[int, int]] = {}
     n = 0
-    for r in cut.where("size > 0").groupBy("container", "capacity", "size").count().collect():
+    counted = cut.where("size > 0").groupBy("container", "capacity", "size").count().limit(MAX_SIZES + 1).collect()
+    if len(counted) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} distinct sizes")
+    for r in counted:
         histogram.setdefault((r[0], r[1]), {})[r[2]] = r[3]
         n += r[3]
     runs = [(*k, *run) for k, h in histogram.items() for run in best_fit_decreasing(h, k[1])[0]]

@@ -108,6 +108,12 @@ def test_pack(spark):
     assert pack(items.limit(0), kinds).count() == 0 and pack(items, kinds.limit(0)).count() == 0
 
 
+def test_huge_capacity(spark):
+    items = spark.createDataFrame([(k, 400_000_000 + k) for k in range(7)], "doc_id long, n_tokens long")
+    packed = pack(items, spark.createDataFrame([("vast", 1_000_000_000)], "container string, capacity int"))
+    assert sorted(r.n for r in packed.groupBy("bin").agg(F.count("*").alias("n")).collect()) == [1, 2, 2, 2]
+
+
 def test_pack_takes_all_kinds_or_raises(spark):
     kinds = spark.range(10_002).select(F.col("id").cast("string").alias("container"), F.lit(7).alias("capacity"))
     with pytest.raises(ValueError, match="kinds"):
