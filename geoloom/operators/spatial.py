@@ -32,6 +32,15 @@ def _span(lo: str, hi: str, side: Column) -> Column:
     return F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side))
 
 
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join through a shuffle, whatever the sides' estimated sizes.
+
+    Estimates know nothing of the rows that an explode makes, so a side that has
+    grown to many times its table would be collected at the driver and broadcast.
+    """
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def box_join(left: DataFrame, right: DataFrame, *, finer: int = 2) -> DataFrame:
     """Every pair of a left and a right row whose boxes (lx0, ly0, lx1, ly1 and rx0, ry0, rx1, ry1) meet, once.
 
@@ -56,7 +65,7 @@ def box_join(left: DataFrame, right: DataFrame, *, finer: int = 2) -> DataFrame:
         keyed_right = keyed_right.withColumn(f"c{axis}", F.explode(_span(f"r{axis}0", f"r{axis}1", side)))
     once = [F.floor(F.greatest(f"l{a}0", f"r{a}0") / side) == F.col(f"c{a}") for a in "xy"]
     meet = [(F.col(f"l{a}0") <= F.col(f"r{a}1")) & (F.col(f"r{a}0") <= F.col(f"l{a}1")) for a in "xy"]
-    pairs = keyed_left.join(keyed_right, ["level", "cx", "cy"])
+    pairs = joined(keyed_left, keyed_right, ["level", "cx", "cy"])
     pairs = pairs.where(F.col("level") == F.greatest("__min", "__own")).where(reduce(lambda a, b: a & b, [*once, *meet]))
     return pairs.drop("level", "cx", "cy", "__min", "__own")
 
@@ -71,7 +80,7 @@ def buffers(points: DataFrame, sizes: Sequence[float]) -> DataFrame:
 
 def cut_at_cells(segments: DataFrame, levels: Sequence[int]) -> DataFrame:
     """Segments cut where they leave a grid cell, once per level: each piece, with its ends, lies in the cell (level, cx, cy)."""
-    rows = segments.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    rows = spread(segments).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     side = side_of(F.col("level"))
     for a in "xy":
         start, run = F.col(f"{a}1"), F.col(f"{a}2") - F.col(f"{a}1")
@@ -90,7 +99,7 @@ def cut_at_cells(segments: DataFrame, levels: Sequence[int]) -> DataFrame:
 
 def _pieces(segments: DataFrame, by: Sequence[str]) -> DataFrame:
     """Segments in pieces no longer than a cell."""
-    rows = segments.select(*by, "x1", "y1", "x2", "y2")
+    rows = spread(segments.select(*by, "x1", "y1", "x2", "y2"))
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / CELL)).cast("int")
     rows = rows.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     share = {k: F.try_divide(F.col("__i") + (k - 1), F.col("__n")) for k in (1, 2)}
@@ -122,12 +131,14 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
     """(id, by..., distance): distance to the nearest segment of each group of ``by``; no row where a group has none.
 
     Features are cut into short pieces and kept in a tree of cells, each with the
-    extent of what it holds and eight times as wide as its children; a search
-    starts in the few widest. Every point descends the tree level by level,
-    keeping only cells that may hold something nearer than what is sure to be
-    found, and takes exact distances in the few finest cells that are left. How
-    many cells a point keeps depends on how the features lie, not on how many
-    they are or how far away. Points without finite coordinates have no row.
+    extent of what it holds and eight times as wide as its children. The cells
+    that a point lies in itself tell within what distance something surely is; its
+    search starts in the few cells of about that size around it, or in the few
+    widest. From there it descends the tree level by level, keeping only cells
+    that may hold something nearer than what is sure to be found, and takes exact
+    distances in the few finest cells that are left. How many cells a point keeps
+    depends on how the features lie, not on how many they are or how far away.
+    Points without finite coordinates have no row.
     """
     by = list(by)
     mid = {a: (F.col(f"{a}1") + F.col(f"{a}2")) / 2 for a in "xy"}
@@ -139,15 +150,17 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         facts = cells.agg(F.max("n"), F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
         return pieces, cells, facts[0], facts[1:]
 
-    pieces, cells, crowd, wide = gathered(_pieces(segments, by), CELL)
+    side = CELL
+    pieces, cells, crowd, wide = gathered(_pieces(segments, by), side)
     if crowd is None:
         nothing = StructType([*points.select("id").schema, *segments.select(*by).schema, StructField("distance", DoubleType())])
         return points.sparkSession.createDataFrame([], nothing)
     if crowd > CROWDED:
-        pieces, cells, crowd, wide = gathered(_pieces(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), by), CELL)
+        pieces, cells, crowd, wide = gathered(_pieces(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), by), side)
         if crowd > CROWDED:
             deeper = min(MAX_DEEPER, math.ceil(math.log(crowd / CROWDED, 16)))
-            pieces, cells, crowd, wide = gathered(pieces, CELL / 4.0**deeper)
+            side = CELL / 4.0**deeper
+            pieces, cells, crowd, wide = gathered(pieces, side)
     top = 0
     while ((wide[1] >> 3 * top) - (wide[0] >> 3 * top) + 1) * ((wide[3] >> 3 * top) - (wide[2] >> 3 * top) + 1) > STARTS:
         top += 1
@@ -165,23 +178,45 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
     finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) != float("inf")) for a in "xy"]
     at, group = ["id", "x", "y"], [f"__s.{n}" for n in by]
     slack = lambda c: c * (1 + 1e-9) + 1e-9
-    live = spread(points.select(*at).where(finite[0] & finite[1]), "id").withColumn("__s", F.explode(start))
-    live = live.withColumn("within", F.array_min(F.transform("__s.kids", lambda q: _squared_gaps(q)[1])))
-    live = live.withColumn("q", F.explode(F.filter("__s.kids", lambda q: _squared_gaps(q)[0] <= slack(F.col("within")))))
-    live = live.select(*at, *[F.col(g).alias(n) for g, n in zip(group, by)], F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within")
+    near = spread(points.select(*at).where(finite[0] & finite[1]), "id")
+    live = near.withColumn("__s", F.explode(start)).select(*at, *[F.col(g).alias(n) for g, n in zip(group, by)], F.col("__s.kids").alias("kids"))
+    live = live.withColumn("within", F.array_min(F.transform("kids", lambda q: _squared_gaps(q)[1])))
+    widest = F.transform(F.filter("kids", lambda q: _squared_gaps(q)[0] <= slack(F.col("within"))), lambda q: F.struct(q["qx"].alias("qx"), q["qy"].alias("qy")))
+    tree, first = None, 0
     if top:
         up = cells.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
         kids = up.groupBy(*by, "k", *above("k", ("px", "py")), *above("(k - 1)", ("qx", "qy"))).agg(*extent)
         tree = cut_lineage(kids.groupBy(*by, "k", F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.collect_list(F.struct(*shown)).alias("kids")))
-    for k in range(top, 0, -1):
-        step = live.join(tree.where(F.col("k") == k).drop("k"), [*by, "cx", "cy"]).select(*at, *by, "within", F.explode("kids").alias("q"))
+        own = near.withColumns({f"c{a}": F.floor(F.col(a) / side) for a in "xy"}).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
+        own = joined(own.select(*at, "k", *above("k", ("cx", "cy"))), tree, ["k", "cx", "cy"]).select(*at, *by, F.explode("kids").alias("q"))
+        sure = own.select("id", *by, _squared_gaps(F.col("q"))[1].alias("sure")).groupBy("id", *by).agg(F.min("sure").alias("sure"))
+        live = joined(live, sure, ["id", *by], "left").withColumn("within", F.least("within", "sure"))
+        # Pieces are kept by their middle, which is at most half a cell from any point of them.
+        reach = F.sqrt(slack(F.col("within"))) + CELL / 2 + 1e-3
+        level = F.coalesce(*[F.when(F.col("reach") <= side * 8.0**k, k) for k in range(top)], F.lit(top))
+        live = live.withColumn("reach", reach).withColumn("k", level)
+        span = {a: _span(f"__{a}0", f"__{a}1", F.lit(side) * F.pow(F.lit(8.0), F.col("k"))) for a in "xy"}
+        live = live.withColumns({f"__{a}{n}": F.col(a) + s * F.col("reach") for a in "xy" for n, s in ((0, -1), (1, 1))})
+        around = F.flatten(F.transform(span["x"], lambda a: F.transform(span["y"], lambda b: F.struct(a.alias("qx"), b.alias("qy")))))  # at most nine
+        live = live.withColumn("q", F.explode(F.when(F.col("k") < top, around).otherwise(widest)))
+        live = cut_lineage(live.select(*at, *by, F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within", "k"))
+        first = live.agg(F.max("k")).first()[0] or 0
+    else:
+        live = live.withColumn("q", F.explode(widest)).select(*at, *by, F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within", F.lit(0).alias("k"))
+    step = None
+    for k in range(first, -1, -1):
+        here = live.where(F.col("k") == k).drop("k")
+        here = here if step is None else here.unionByName(step)
+        if not k:
+            break
+        step = joined(here, tree.where(F.col("k") == k).drop("k"), [*by, "cx", "cy"]).select(*at, *by, "within", F.explode("kids").alias("q"))
         low, high = _squared_gaps(F.col("q"))
         step = step.select(*at, *by, "within", "q.qx", "q.qy", low.alias("low"), high.alias("high")).where(F.col("low") <= slack(F.col("within")))
         step = step.groupBy(*at, *by).agg(F.min(F.least("high", "within")).alias("within"), F.collect_list(F.struct("low", "qx", "qy")).alias("q"))
         step = step.select(*at, *by, "within", F.explode("q").alias("q")).where(F.col("q.low") <= slack(F.col("within")))
-        live = step.select(*at, *by, F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within")
+        step = step.select(*at, *by, F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within")
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
-    met = live.join(pieces, [*by, "cx", "cy"])
+    met = joined(here, pieces, [*by, "cx", "cy"])
     return met.groupBy("id", *by).agg(F.min(segment_distance(*ends)).alias("distance"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import kernels as K
 from geoloom.functions.naming import ELEVATION, padded, plain
 from geoloom.functions.projection import unproject
-from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, nearest, side_of
+from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, joined, nearest, side_of
 
 RING = 30.0
 #: Elevation differences in metres beyond which ring cells are counted, and their names.
@@ -40,11 +40,11 @@ def distance(points: DataFrame, segments: DataFrame, name: str) -> DataFrame:
         extent = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
         boxes = edges.groupBy("year", "fid").agg(*[f(e).alias(n) for f, e, n in zip((F.min, F.min, F.max, F.max), extent, ("rx0", "ry0", "rx1", "ry1"))])
         at = points.select("id", "x", "y", F.col("x").alias("lx0"), F.col("y").alias("ly0"), F.col("x").alias("lx1"), F.col("y").alias("ly1"))
-        hit = box_join(at, boxes).select("id", "x", "y", "year", "fid").join(edges, ["year", "fid"])
+        hit = joined(box_join(at, boxes).select("id", "x", "y", "year", "fid"), edges, ["year", "fid"])
         crossing = K.ray_crossing(*[F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")])
         inside = hit.groupBy("id", "year", "fid").agg(F.sum(crossing.cast("int")).alias("n")).where("n % 2 = 1").select("id", "year").distinct()
         inside = inside.withColumn("__in", F.lit(0.0))
-        found = found.join(inside, ["id", "year"], "left").withColumn("distance", F.coalesce("__in", "distance"))
+        found = joined(found, inside, ["id", "year"], "left").withColumn("distance", F.coalesce("__in", "distance"))
     return found.select("id", F.lit(name).alias("varname"), F.col("year").cast("int").alias("year"), F.col("distance").alias("value"))
 
 
@@ -148,7 +148,7 @@ def region_overlap(points: DataFrame, polygons: DataFrame, sizes: Sequence[float
     found = _overlaps(points, polygons, sizes, ["fid", "tot_reg_cd", "feature_area"], touching=True)
     ratio = found.groupBy("id", "r", "fid", "tot_reg_cd").agg((F.sum("overlap") / F.max("feature_area")).alias("ratio"))
     grid = buffers(points, sizes).select("id", "r")
-    full = grid.join(ratio, ["id", "r"], "left")
+    full = joined(grid, ratio, ["id", "r"], "left")
     return full.select("id", F.col("r").alias("buffer_size"), "tot_reg_cd", F.coalesce("ratio", F.lit(0.0)).alias("intersection_ratio"))
 
 
@@ -181,14 +181,14 @@ def elevation(points: DataFrame, cells: DataFrame, sizes: Sequence[float], kind:
     )
     at = points.select("id", F.col("x").alias("lx0"), F.col("y").alias("ly0"), F.col("x").alias("lx1"), F.col("y").alias("ly1"))
     here = box_join(at, cells).groupBy("id").agg(F.avg("value").alias("ref"))
-    here = points.select("id").join(here, "id", "left")
+    here = joined(points.select("id"), here, ["id"], "left")
 
     widest = cells.agg(F.max(F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0")))).first()[0] or 0.0
-    around = buffers(points, sizes).select("id", "x", "y", "r").join(here, "id").where("ref is not null")
+    around = buffers(points, sizes).select("id", "x", "y", "r").join(here.hint("merge"), "id").where("ref is not null")
     keyed = cells.withColumn("level", F.explode(F.array(*map(F.lit, sorted({_grid_level(float(s), 64) for s in sizes}))).cast("array<int>")))
     side = side_of(F.col("level"))
     keyed = keyed.withColumns({f"c{a}": F.floor((F.col(f"r{a}0") + F.col(f"r{a}1")) / 2 / side) for a in "xy"})
-    pairs = _ring_cells(around.withColumn("level", _level_by_size(sizes, 64)), widest).join(keyed, ["level", "cx", "cy"])
+    pairs = _ring_cells(around.withColumn("level", _level_by_size(sizes, 64)), widest).join(keyed.hint("merge"), ["level", "cx", "cy"])
     box = [F.col(c) - F.col(a) for c, a in (("rx0", "x"), ("ry0", "y"), ("rx1", "x"), ("ry1", "y"))]
     ring = pairs.where(K.box_meets_ring(*box, F.col("r"), F.col("r") + RING))
     rise = F.col("value") - F.col("ref")

@@ -18,6 +18,7 @@ from geoloom.functions import wkb
 from geoloom.operators.spatial import row_ids
 from geoloom.plans import finalise
 from geoloom.queries import reference as R
+from geoloom.session import spread
 
 LLW_SIZES, PLOT_SIZES, REGION_SIZES, RING_SIZE = [500, 2000], [1000, 3000], [1000.0, 5000.0], 300
 
@@ -77,6 +78,12 @@ RIVER = ((1500, 900), (300, 200, 500, 300), (2500, 100, 200, 200))
 BENDS = (0.6, 40)
 
 
+def _rows(spark: SparkSession, d: str, name: str, *more: str) -> DataFrame:
+    """Keys of a table over all cores, before shapes are made of them in Python."""
+    key = _AT[name][0]
+    return spread(R.table(spark, d, name).select(key, *more), key)
+
+
 def _points_layer(spark: SparkSession, d: str, layer: str) -> DataFrame:
     key, x, y = _AT["supplier"]
     return R.table(spark, d, "supplier").select(F.expr(_cycled(key, YEARS[layer])).alias("year"), _geometry("point", [[x, y]]).alias("geometry"))
@@ -85,19 +92,19 @@ def _points_layer(spark: SparkSession, d: str, layer: str) -> DataFrame:
 def _ports(spark: SparkSession, d: str) -> DataFrame:
     key, x, y = _AT["supplier"]
     area = F.when(F.expr(f"{key} % 2 = 0"), _geometry("point", [[x, y]])).otherwise(_geometry("polygon", [_ring(x, y, PORT, PORT)]))
-    return R.table(spark, d, "supplier").select(F.expr(_cycled(key, YEARS["ports"])).alias("year"), area.alias("geometry"))
+    return _rows(spark, d, "supplier").select(F.expr(_cycled(key, YEARS["ports"])).alias("year"), area.alias("geometry"))
 
 
 def _lines(spark: SparkSession, d: str, years, dx: int, dy: int) -> DataFrame:
     key, x, y = _AT["orders"]
-    return R.table(spark, d, "orders").select(F.col(key).alias("id"), F.expr(_cycled(key, years)).alias("year"), _geometry("line", [[x, y, f"{x} + {dx}", f"{y} + {dy}"]]).alias("geometry"))
+    return _rows(spark, d, "orders").select(F.col(key).alias("id"), F.expr(_cycled(key, years)).alias("year"), _geometry("line", [[x, y, f"{x} + {dx}", f"{y} + {dy}"]]).alias("geometry"))
 
 
 def _coast(spark: SparkSession, d: str) -> DataFrame:
     key, x, y = _AT["orders"]
     bend = f"{y} + case when {key} % 3 = 0 then {BENDS[0]} else {BENDS[1]} end"
     line = _geometry("line", [[x, y, f"{x} + 200", bend, f"{x} + 400", y]])
-    return R.table(spark, d, "orders").select(F.expr(_cycled(key, YEARS["coastline"])).alias("year"), line.alias("geometry"))
+    return _rows(spark, d, "orders").select(F.expr(_cycled(key, YEARS["coastline"])).alias("year"), line.alias("geometry"))
 
 
 def _holed(x: str, y: str) -> Column:
@@ -107,12 +114,12 @@ def _holed(x: str, y: str) -> Column:
 
 def _rivers(spark: SparkSession, d: str) -> DataFrame:
     _, x, y = _AT["part"]
-    return R.table(spark, d, "part").select(F.lit(2023).alias("year"), _holed(x, y).alias("geometry"))
+    return _rows(spark, d, "part").select(F.lit(2023).alias("year"), _holed(x, y).alias("geometry"))
 
 
 def _plots(spark: SparkSession, d: str) -> DataFrame:
     _, x, y = _AT["part"]
-    return R.table(spark, d, "part").select(F.expr("p_size % 7").alias("code"), _holed(x, y).alias("geometry"))
+    return _rows(spark, d, "part", "p_size").select(F.expr("p_size % 7").alias("code"), _holed(x, y).alias("geometry"))
 
 
 _REGION_X, _REGION_Y = f"{R.X0} + (n_nationkey % 5) * 40000", f"{R.Y0} + floor(n_nationkey / 5) * 40000"
@@ -182,7 +189,7 @@ def calc_main_road(spark: SparkSession, d: str) -> DataFrame:
 def _road_layer(spark: SparkSession, d: str) -> DataFrame:
     at = R._ROADS
     shape = _geometry("line", [[at["x1"], at["y1"], at["x2"], at["y2"]]])
-    return R.table(spark, d, "orders").select(*[F.expr(at[c]).alias(n) for c, n in (("fid", "id"), ("year", "year"), ("lanes", "lanes"), ("width", "width"))], shape.alias("geometry"))
+    return _rows(spark, d, "orders").select(*[F.expr(at[c]).alias(n) for c, n in (("fid", "id"), ("year", "year"), ("lanes", "lanes"), ("width", "width"))], shape.alias("geometry"))
 
 
 def calc_road_llw(spark: SparkSession, d: str) -> DataFrame:

@@ -58,7 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Narrow rows over all cores by their key, before each of them makes many: a few files would keep a few cores busy."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows over all cores, by their key if they have one, before each of them makes many: a few files would keep a few cores busy."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
