@@ -89,14 +89,14 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     per_cell = pieces.groupBy(*keys, "year").agg(*[F.sum(t).alias(n) for t, n in zip(terms(length), names)])
 
     cells = _buffer_cells(round_.withColumn("level", _level_by_size(sizes, 4)))
-    whole = cells.where("inside").select("id", "r", *keys).join(per_cell, keys).select("id", "r", "year", *names)
-    rim = cells.where("not inside").select("id", "x", "y", "r", *keys).join(pieces, keys)
+    whole = joined(cells.where("inside").select("id", "r", *keys), per_cell, keys).select("id", "r", "year", *names)
+    rim = joined(cells.where("not inside").select("id", "x", "y", "r", *keys), pieces, keys)
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
     rim = rim.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len"))
     rim = rim.select("id", "r", "year", *[t.alias(n) for t, n in zip(terms(F.col("len")), names)])
     sums = whole.unionByName(rim).groupBy("id", "r", "year").agg(*[F.sum(n).alias(n) for n in names])
     grid = round_.select("id", "r", F.explode(F.array(*map(F.lit, years))).alias("year"))
-    full = grid.join(sums, ["id", "r", "year"], "left").fillna(0.0, names)
+    full = joined(grid, sums, ["id", "r", "year"], "left").fillna(0.0, names)
     label = _label(sizes, padded)
     return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in names}, F.col("year"))
 

@@ -4,6 +4,7 @@ import math
 import random
 
 from geoloom.operators.spatial import nearest
+from geoloom.plans import variables
 
 
 def broadcasts(df):
@@ -35,3 +36,8 @@ def test_search_starts_near_the_point(spark):
 
     want = {(k, year): min(distance(x, y, *s[1:]) for s in lines if s[0] == year) for k, x, y in at for year in (2000, 2005)}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-6) for k in want)
+
+
+def test_line_lengths_are_not_broadcast(spark):
+    points, lines = layers(spark)
+    assert broadcasts(variables.line_lengths(points, lines, [500.0, 2000.0], [2020], "Road")) == 0
