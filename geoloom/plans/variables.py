@@ -12,6 +12,7 @@ from geoloom.functions import kernels as K
 from geoloom.functions.naming import ELEVATION, padded, plain
 from geoloom.functions.projection import unproject
 from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, joined, nearest, side_of
+from geoloom.session import spread
 
 RING = 30.0
 #: Elevation differences in metres beyond which ring cells are counted, and their names.
@@ -103,7 +104,7 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
 
 def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str], touching: bool = False) -> DataFrame:
     """(id, r, keep..., overlap) per pair of a buffer and a polygon part whose boxes meet; with ``touching``, only of those that meet."""
-    boxes = polygons.withColumnsRenamed({"xmin": "rx0", "ymin": "ry0", "xmax": "rx1", "ymax": "ry1"})
+    boxes = spread(polygons, "fid").withColumnsRenamed({"xmin": "rx0", "ymin": "ry0", "xmax": "rx1", "ymax": "ry1"})
     boxes = boxes.withColumn("__poly", F.xxhash64("fid", "rx0", "ry0", "rx1", "ry1"))
     pairs = box_join(buffers(points, sizes), boxes).where("r > 0")
     edges = pairs.select("id", "x", "y", "r", "__poly", *keep, F.explode("edges").alias("e"))
@@ -135,7 +136,7 @@ def landuse(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], year
     codes = sorted(r[0] for r in (polygons if listed is None else listed).select(F.col("code").cast("string").alias("code")).where("code is not null").distinct().collect())  # a land-use classification
     grid = points.select("id", F.explode(F.array(*map(F.lit, codes)).cast("array<string>")).alias("code"))
     grid = grid.select("id", "code", F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("r"))
-    full = grid.join(sums, ["id", "r", "code"], "left").fillna(0.0, ["a", "p"])
+    full = joined(grid, sums, ["id", "r", "code"], "left").fillna(0.0, ["a", "p"])
     name = F.concat(F.lit("LS"), F.col("code"), F.lit("_"), _label(sizes, padded))
     return _long(full, {c: F.concat(name, F.lit(f"_{c}")) for c in ("a", "p")}, F.lit(year))
 

@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from geoloom.operators.spatial import nearest
 from geoloom.plans import variables
 
@@ -41,3 +43,11 @@ def test_search_starts_near_the_point(spark):
 def test_line_lengths_are_not_broadcast(spark):
     points, lines = layers(spark)
     assert broadcasts(variables.line_lengths(points, lines, [500.0, 2000.0], [2020], "Road")) == 0
+
+
+def test_landuse_is_not_broadcast(spark):
+    points, lines = layers(spark)
+    corners = {"xmin": "x1", "ymin": "y2", "xmax": "x2", "ymax": "y1"}
+    edges = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(e, ("x1", "y1", "x2", "y2"))]) for e in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmax", "ymax"), ("xmax", "ymax", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))])
+    plots = lines.selectExpr("fid", "'110' as code", *[f"{e} as {n}" for n, e in corners.items()]).withColumn("edges", edges)
+    assert broadcasts(variables.landuse(points, plots, [1000.0], 2020)) == 0
