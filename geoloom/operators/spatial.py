@@ -97,10 +97,10 @@ def cut_at_cells(segments: DataFrame, levels: Sequence[int]) -> DataFrame:
     return rows
 
 
-def _pieces(segments: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Segments in pieces no longer than a cell."""
+def _pieces(segments: DataFrame, by: Sequence[str], length: float) -> DataFrame:
+    """Segments in pieces no longer than ``length``."""
     rows = spread(segments.select(*by, "x1", "y1", "x2", "y2"))
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / CELL)).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / length)).cast("int")
     rows = rows.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     share = {k: F.try_divide(F.col("__i") + (k - 1), F.col("__n")) for k in (1, 2)}
     return rows.select(*by, *[(F.col(f"{a}1") + (F.col(f"{a}2") - F.col(f"{a}1")) * share[k]).alias(f"{a}{k}") for k in (1, 2) for a in "xy"])
@@ -110,6 +110,25 @@ def _pieces(segments: DataFrame, by: Sequence[str]) -> DataFrame:
 CROWDED, MAX_DEEPER = 64, 8
 
 
+#: Pieces that a cell of the search may hold on average, and how many levels wider than the finest its cells are at most.
+FEW, MAX_WIDER = 12, 10
+
+
+def _search_side(segments: DataFrame, by: Sequence[str]) -> float:
+    """Side of the cells, and length of the pieces, at which cells hold few pieces on average in every group.
+
+    Lines that are long or far apart would else be cut to pieces many times as many as the lines.
+    """
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    spans = [F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2")) for a in "xy"]
+    facts = segments.groupBy(*by).agg(F.count("*").alias("n"), F.sum(size).alias("l"), (spans[0] * spans[1]).alias("a"))
+    n, length, area = (F.col(c).cast("double") for c in "nla")  # n side^2 + length side = FEW area
+    side = facts.agg(F.min((F.sqrt(length * length + 4 * FEW * n * area) - length) / (2 * n))).first()[0]
+    if side is None or not math.isfinite(side) or side <= CELL:
+        return CELL
+    return CELL * 2.0 ** min(MAX_WIDER, math.floor(math.log2(side / CELL)))
+
+
 #: Cells in which a point starts its search at most, per group.
 STARTS = 4
 
@@ -130,8 +149,9 @@ def _squared_gaps(q: Column) -> tuple[Column, Column]:
 def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(id, by..., distance): distance to the nearest segment of each group of ``by``; no row where a group has none.
 
-    Features are cut into short pieces and kept in a tree of cells, each with the
-    extent of what it holds and eight times as wide as its children. The cells
+    Features are cut into pieces as long as a cell is wide and kept in a tree of
+    cells, each with the extent of what it holds and eight times as wide as its
+    children; the finest are as wide as lets them hold few pieces. The cells
     that a point lies in itself tell within what distance something surely is; its
     search starts in the few cells of about that size around it, or in the few
     widest. From there it descends the tree level by level, keeping only cells
@@ -150,13 +170,16 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         facts = cells.agg(F.max("n"), F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
         return pieces, cells, facts[0], facts[1:]
 
-    side = CELL
-    pieces, cells, crowd, wide = gathered(_pieces(segments, by), side)
+    cut = side = _search_side(segments, by)
+    pieces, cells, crowd, wide = gathered(_pieces(segments, by, cut), side)
+    while crowd is not None and crowd > CROWDED and cut > CELL:  # features lie closer in places
+        cut = side = max(CELL, cut / 2.0 ** math.ceil(math.log2(crowd / CROWDED)))
+        pieces, cells, crowd, wide = gathered(_pieces(segments, by, cut), side)
     if crowd is None:
         nothing = StructType([*points.select("id").schema, *segments.select(*by).schema, StructField("distance", DoubleType())])
         return points.sparkSession.createDataFrame([], nothing)
     if crowd > CROWDED:
-        pieces, cells, crowd, wide = gathered(_pieces(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), by), side)
+        pieces, cells, crowd, wide = gathered(_pieces(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), by, cut), side)
         if crowd > CROWDED:
             deeper = min(MAX_DEEPER, math.ceil(math.log(crowd / CROWDED, 16)))
             side = CELL / 4.0**deeper
@@ -191,8 +214,8 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         own = joined(own.select(*at, "k", *above("k", ("cx", "cy"))), tree, ["k", "cx", "cy"]).select(*at, *by, F.explode("kids").alias("q"))
         sure = own.select("id", *by, _squared_gaps(F.col("q"))[1].alias("sure")).groupBy("id", *by).agg(F.min("sure").alias("sure"))
         live = joined(live, sure, ["id", *by], "left").withColumn("within", F.least("within", "sure"))
-        # Pieces are kept by their middle, which is at most half a cell from any point of them.
-        reach = F.sqrt(slack(F.col("within"))) + CELL / 2 + 1e-3
+        # Pieces are kept by their middle, which is at most half their length from any point of them.
+        reach = F.sqrt(slack(F.col("within"))) + cut / 2 + 1e-3
         level = F.coalesce(*[F.when(F.col("reach") <= side * 8.0**k, k) for k in range(top)], F.lit(top))
         live = live.withColumn("reach", reach).withColumn("k", level)
         span = {a: _span(f"__{a}0", f"__{a}1", F.lit(side) * F.pow(F.lit(8.0), F.col("k"))) for a in "xy"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -55,7 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return kept
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans and broadcasts of finished jobs, which would else fill its heap, and with them
+    shuffle files that nothing refers to, which are kept until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from geoloom.operators import spatial
 from geoloom.operators.spatial import nearest
 from geoloom.plans import variables
+from geoloom.session import cut_lineage
 
 
 def broadcasts(df):
@@ -51,3 +53,34 @@ def test_landuse_is_not_broadcast(spark):
     edges = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(e, ("x1", "y1", "x2", "y2"))]) for e in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmax", "ymax"), ("xmax", "ymax", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))])
     plots = lines.selectExpr("fid", "'110' as code", *[f"{e} as {n}" for n, e in corners.items()]).withColumn("edges", edges)
     assert broadcasts(variables.landuse(points, plots, [1000.0], 2020)) == 0
+
+
+def test_long_lines_far_apart_are_cut_into_few_pieces(spark):
+    lines = spark.range(50).selectExpr("2020 as year", "id * 8110D % 400000 as x1", "id * 57700D % 300000 as y1").selectExpr("*", "x1 + 6000 as x2", "y1 - 4000 as y2")
+    side = spatial._search_side(lines, ["year"])
+    assert spatial._pieces(lines, ["year"], side).count() <= 3 * 50 < spatial._pieces(lines, ["year"], spatial.CELL).count()
+
+
+def test_search_among_long_lines_and_a_crowd(spark):
+    """Long lines all over, with a crowd of short ones in one place: wide cells at first, narrow ones where they are too full."""
+    rng = random.Random(5)
+    lines = [(x := rng.uniform(0, 3e5), y := rng.uniform(0, 3e5), x + rng.uniform(-9e3, 9e3), y + rng.uniform(-9e3, 9e3)) for _ in range(60)]
+    lines += [(x := rng.uniform(1e5, 1.01e5), y := rng.uniform(1e5, 1.01e5), x + rng.uniform(-40, 40), y + rng.uniform(-40, 40)) for _ in range(300)]
+    at = [(k, rng.uniform(0, 3e5), rng.uniform(0, 3e5)) for k in range(30)] + [(100 + k, rng.uniform(9.9e4, 1.02e5), rng.uniform(9.9e4, 1.02e5)) for k in range(30)]
+    shown = spark.createDataFrame(lines, "x1 double, y1 double, x2 double, y2 double")
+    assert spatial._search_side(shown, []) > spatial.CELL
+    got = {r.id: r.distance for r in nearest(spark.createDataFrame(at, "id long, x double, y double"), shown).collect()}
+
+    def distance(px, py, x1, y1, x2, y2):
+        t = min(1, max(0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(x1 + t * (x2 - x1) - px, y1 + t * (y2 - y1) - py)
+
+    want = {k: min(distance(x, y, *s) for s in lines) for k, x, y in at}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-6) for k in want)
+
+
+def test_a_cut_collects_the_drivers_garbage(spark):
+    collected = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collected()
+    cut_lineage(spark.range(3))
+    assert collected() > before
