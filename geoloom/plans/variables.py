@@ -59,12 +59,23 @@ def _level_by_size(sizes: Sequence[float], cells: int) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), F.col("r"))
 
 
-def _buffer_cells(rows: DataFrame) -> DataFrame:
-    """Grid cells (cx, cy) of column ``level`` near the buffer r around (x, y), and whether they lie inside it."""
+#: Levels between cells of buffers and those that tell first where there is anything at all.
+BLOCK = 3
+
+
+def _buffer_cells(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Grid cells (cx, cy) of column ``level`` near the buffer r around (x, y), and whether they lie inside it.
+
+    Only those in ``blocks`` (level, bx, by), which are cells ``BLOCK`` levels up; a buffer meets few of these.
+    """
     side = side_of(F.col("level"))
     for a in "xy":
-        span = F.sequence(F.floor((F.col(a) - F.col("r")) / side), F.floor((F.col(a) + F.col("r")) / side))
-        rows = rows.withColumn(f"c{a}", F.explode(span))
+        rows = rows.withColumns({f"__{a}0": F.floor((F.col(a) - F.col("r")) / side), f"__{a}1": F.floor((F.col(a) + F.col("r")) / side)})
+        rows = rows.withColumn(f"b{a}", F.explode(F.sequence(F.shiftright(f"__{a}0", BLOCK), F.shiftright(f"__{a}1", BLOCK))))
+    rows = joined(rows, blocks, ["level", "bx", "by"])
+    for a in "xy":
+        first, last = F.shiftleft(f"b{a}", BLOCK), F.shiftleft(f"b{a}", BLOCK) + (2**BLOCK - 1)
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(F.greatest(f"__{a}0", first), F.least(f"__{a}1", last))))
     low = {a: F.col(f"c{a}") * side - F.col(a) for a in "xy"}
     high = {a: (F.col(f"c{a}") + 1) * side - F.col(a) for a in "xy"}
     near = F.hypot(*[F.greatest(F.lit(0.0), low[a], -high[a]) for a in "xy"])
@@ -78,22 +89,27 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     ``segments`` has year, lanes, width and the ends. Missing lanes or widths
     drop out of the sums that need them only. Lines are cut at grid cells that
     match the buffer sizes and summed up per cell; cells inside a buffer count
-    by their sums, and only pieces in cells at its rim are clipped.
+    by their sums, and only pieces in cells at its rim are clipped. Lines that
+    are listed several times are kept once, with how often they count.
     """
     round_ = buffers(points, sizes).select("id", "x", "y", "r")
     levels = sorted({_grid_level(float(s), 4) for s in sizes})
     keys = ["level", "cx", "cy"]
-    pieces = cut_at_cells(segments.select("year", "lanes", "width", "x1", "y1", "x2", "y2"), levels)
+    same = ["year", "lanes", "width", "x1", "y1", "x2", "y2"]
+    lines = segments.groupBy(*same).agg(F.count("*").cast("double").alias("times"))
+    pieces = cut_at_cells(lines, levels)
+    blocks = cut_at_cells(lines.select(*same[3:]), [v + BLOCK for v in levels])
+    blocks = blocks.select((F.col("level") - BLOCK).alias("level"), F.col("cx").alias("bx"), F.col("cy").alias("by")).distinct()
     terms = lambda n: [n, n * F.col("lanes"), n * F.col("lanes") * F.col("width")]
     names = ["L", "LL", "LLW"]
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    per_cell = pieces.groupBy(*keys, "year").agg(*[F.sum(t).alias(n) for t, n in zip(terms(length), names)])
+    per_cell = pieces.groupBy(*keys, "year").agg(*[F.sum(t).alias(n) for t, n in zip(terms(length * F.col("times")), names)])
 
-    cells = _buffer_cells(round_.withColumn("level", _level_by_size(sizes, 4)))
+    cells = _buffer_cells(round_.withColumn("level", _level_by_size(sizes, 4)), blocks)
     whole = joined(cells.where("inside").select("id", "r", *keys), per_cell, keys).select("id", "r", "year", *names)
     rim = joined(cells.where("not inside").select("id", "x", "y", "r", *keys), pieces, keys)
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
-    rim = rim.select("id", "r", "year", "lanes", "width", K.clipped_length(*ends, F.col("r")).alias("len"))
+    rim = rim.select("id", "r", "year", "lanes", "width", (K.clipped_length(*ends, F.col("r")) * F.col("times")).alias("len"))
     rim = rim.select("id", "r", "year", *[t.alias(n) for t, n in zip(terms(F.col("len")), names)])
     sums = whole.unionByName(rim).groupBy("id", "r", "year").agg(*[F.sum(n).alias(n) for n in names])
     grid = round_.select("id", "r", F.explode(F.array(*map(F.lit, years))).alias("year"))

@@ -18,7 +18,7 @@ from geoloom.functions.naming import ELEVATION
 from geoloom.operators import chunking
 from geoloom.operators.locate import distinct_points
 from geoloom.operators.prepare import to_polygons, to_segments
-from geoloom.operators.spatial import row_ids
+from geoloom.operators.spatial import joined, row_ids
 from geoloom.plans import finalise, variables
 from geoloom.session import cut_lineage
 
@@ -128,13 +128,13 @@ def road_llw(spark: SparkSession, d: str) -> DataFrame:
 def main_road_llw(spark: SparkSession, d: str) -> DataFrame:
     """Roads chosen by the numbers that a main-road table lists, 97 at most; a number listed twice counts twice."""
     chosen = table(spark, d, "supplier").selectExpr("s_suppkey * 3 % 97 as fid", "2020 as year")
-    return _rounded(variables.line_lengths(points(spark, d), _roads(spark, d).drop("year").join(chosen, "fid"), ROAD_SIZES, [2020], "MR1"))
+    return _rounded(variables.line_lengths(points(spark, d), joined(_roads(spark, d).drop("year"), chosen, ["fid"]), ROAD_SIZES, [2020], "MR1"))
 
 
 def main_road_llw_all(spark: SparkSession, d: str) -> DataFrame:
     """The same with a main-road table that lists every road, each tenth of them twice."""
     chosen = table(spark, d, "orders").selectExpr(f"explode({_LISTED}) as fid", "2020 as year")
-    return _rounded(variables.line_lengths(points(spark, d), _roads(spark, d).drop("year").join(chosen, "fid"), ROAD_SIZES, [2020], "MR1"))
+    return _rounded(variables.line_lengths(points(spark, d), joined(_roads(spark, d).drop("year"), chosen, ["fid"]), ROAD_SIZES, [2020], "MR1"))
 
 
 def landuse(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.operators import spatial
 from geoloom.operators.spatial import nearest
 from geoloom.plans import variables
+from geoloom.queries import reference
 from geoloom.session import cut_lineage
 
 
@@ -84,3 +85,23 @@ def test_a_cut_collects_the_drivers_garbage(spark):
     before = collected()
     cut_lineage(spark.range(3))
     assert collected() > before
+
+
+def test_chosen_roads_are_not_broadcast(spark):
+    assert [broadcasts(f(spark, "/root/testdata/sf0.001")) for f in (reference.main_road_llw, reference.main_road_llw_all)] == [0, 0]
+
+
+def test_buffers_look_up_only_cells_near_lines(spark):
+    at = spark.createDataFrame([(1, 0.0, 0.0, 2000.0, 3), (2, 9e5, 0.0, 2000.0, 3)], "id long, x double, y double, r double, level int")
+    blocks = spark.createDataFrame([(3, 0, 0), (3, -1, 0)], "level int, bx long, by long")
+    cells = variables._buffer_cells(at, blocks).collect()
+    assert {c.id for c in cells} == {1} and {(c.cx >> 3, c.cy >> 3) for c in cells} == {(0, 0), (-1, 0)}
+
+
+def test_lines_listed_often_count_as_often_and_are_kept_once(spark):
+    points, lines = layers(spark)
+    value = lambda df: {(r.id, r.varname): r.value for r in variables.line_lengths(points, df, [500.0, 2000.0], [2020], "Road").collect()}
+    once, often = value(lines), value(lines.unionByName(lines).unionByName(lines))
+    assert any(once.values()) and all(math.isclose(often[k], 3 * once[k], rel_tol=1e-9) for k in once)
+    plan = variables.line_lengths(points, lines, [500.0], [2020], "Road")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS times#" in plan
