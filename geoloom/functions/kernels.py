@@ -53,6 +53,16 @@ def clip(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> tuple[Col
 
 def clip_range(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> Column:
     """struct(t0, t1) of ``clip``; segments wholly inside or out are told by distance, others are cut by the 16 strips."""
+    inside, outside, cut = _clip_cases(x1, y1, x2, y2, r)
+    return F.when(inside, _range(0.0, 1.0)).when(outside, _range(1.0, 0.0)).otherwise(cut)
+
+
+def _range(a: float, b: float) -> Column:
+    return F.struct(F.lit(a).alias("t0"), F.lit(b).alias("t1"))
+
+
+def _clip_cases(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> tuple[Column, Column, Column]:
+    """Whether a segment is surely inside, whether it is surely outside, and struct(t0, t1) of the strips if it is neither."""
     dx, dy, d = x2 - x1, y2 - y1, r * APOTHEM
 
     def strip(s: Column, n: Column) -> Column:  # opposite sides bound the same strip
@@ -61,16 +71,16 @@ def clip_range(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> Col
         leave = F.try_divide(-a, b) + F.try_divide(d, F.abs(b))
         return F.struct(F.greatest(s["t0"], enter).alias("t0"), F.least(s["t1"], leave).alias("t1"))
 
-    pair = lambda a, b: F.struct(F.lit(a).alias("t0"), F.lit(b).alias("t1"))
     inside = (x1 * x1 + y1 * y1 <= d * d) & (x2 * x2 + y2 * y2 <= d * d)
-    cut = F.aggregate(_normals(SIDES // 2), pair(0.0, 1.0), strip)
-    return F.when(inside, pair(0.0, 1.0)).when(segment_distance(x1, y1, x2, y2) > r, pair(1.0, 0.0)).otherwise(cut)
+    return inside, segment_distance(x1, y1, x2, y2) > r, F.aggregate(_normals(SIDES // 2), _range(0.0, 1.0), strip)
 
 
 def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, r: Column) -> Column:
-    """Length of a segment inside the buffer."""
+    """Length of a segment inside the buffer. Only those that may cross its rim reach the strips, whose loop isn't compiled."""
     length = F.hypot(x2 - x1, y2 - y1)
-    return F.transform(F.array(clip_range(x1, y1, x2, y2, r)), lambda t: F.greatest(F.lit(0.0), t["t1"] - t["t0"]) * length)[0]
+    inside, outside, cut = _clip_cases(x1, y1, x2, y2, r)
+    part = F.transform(F.array(cut), lambda t: F.greatest(F.lit(0.0), t["t1"] - t["t0"]) * length)[0]
+    return F.when(inside, length).when(outside, F.lit(0.0)).otherwise(part)
 
 
 def wedges(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
