@@ -20,7 +20,7 @@ from geoloom.functions.projection import REFERENCE, to_reference
 from geoloom.functions.wkb import point_wkb
 from geoloom.operators import chunking
 from geoloom.operators.prepare import to_polygons, to_segments
-from geoloom.operators.spatial import row_ids
+from geoloom.operators.spatial import joined, row_ids
 from geoloom.plans import finalise, variables
 from geoloom.session import build_session, cut_lineage
 from geoloom.sources import storage
@@ -261,7 +261,7 @@ class Calculator:
                 ids = chosen.select(F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"roads_{y}_id").alias("id")) for y in years])).alias("k"))
                 ids = ids.select("k.year", "k.id").where("id is not null")
                 # Roads are chosen by number alone; a number chosen twice counts twice.
-                rows = self.layers.read("roads").select("id", "lanes", "width", "geometry").join(ids, "id")
+                rows = joined(self.layers.read("roads").select("id", "lanes", "width", "geometry"), ids, ["id"])
                 segments = self._prepared(lambda: to_segments(rows, "year", "lanes", "width"))
                 return variables.line_lengths(self.points, segments, sizes, years, kind.upper())
 

@@ -5,10 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from geoloom import engine
 from geoloom.operators import spatial
 from geoloom.operators.spatial import nearest
 from geoloom.plans import variables
-from geoloom.queries import reference
+from geoloom.queries import interface, reference
 from geoloom.session import cut_lineage
 
 
@@ -105,3 +106,10 @@ def test_lines_listed_often_count_as_often_and_are_kept_once(spark):
     assert any(once.values()) and all(math.isclose(often[k], 3 * once[k], rel_tol=1e-9) for k in once)
     plan = variables.line_lengths(points, lines, [500.0], [2020], "Road")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS times#" in plan
+
+
+def test_named_main_roads_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(engine, "cut_lineage", lambda df: seen.append(broadcasts(df)) or df)
+    interface.calc_main_road_llw(spark, "/root/testdata/sf0.001")
+    assert seen == [0, 0]
