@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.wkb import POLYGON, parts
+from geoloom.functions.wkb import POLYGON, alike, parts
 
 
 def simplify(vertices: np.ndarray, tolerance: float) -> np.ndarray:
@@ -33,26 +33,28 @@ def simplify(vertices: np.ndarray, tolerance: float) -> np.ndarray:
     return vertices[keep]
 
 
-def _segments(tolerance: float):
-    def rows_of(data: bytes | None) -> tuple[np.ndarray, bool]:
-        """Edges, and whether the geometry has an area; a point is an edge of no length."""
-        out, area = [], False
-        for base, rings in parts(data):
-            area |= base == POLYGON
-            for v in rings:
-                v = simplify(v, tolerance) if tolerance and len(v) > 2 else v
-                out.append(np.hstack([v[:-1], v[1:]]) if len(v) > 1 else np.hstack([v, v]))
-        return (np.vstack(out) if out else np.empty((0, 4))), area
+def _edges(v: np.ndarray) -> np.ndarray:
+    """Edges (row, edge, ends) of rings of as many vertices; a point is an edge of no length."""
+    return np.concatenate([v[:, :-1], v[:, 1:]] if v.shape[1] > 1 else [v, v], axis=2)
 
+
+def _segments(tolerance: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, area = zip(*map(rows_of, batch["geometry"])) if len(batch) else ((), ())
-            n = [len(s) for s in found]
-            out = batch.drop(columns="geometry").loc[batch.index.repeat(n)].reset_index(drop=True)
-            s = np.vstack(found) if found else np.empty((0, 4))
+            rows, ends, area = [np.empty(0, int)], [np.empty((0, 4))], [np.empty(0, bool)]
+            for own, found in alike(batch["geometry"].tolist()):
+                is_area = any(base == POLYGON for base, _ in found)
+                for v in (v for _, rings in found for v in rings):
+                    short = tolerance and v.shape[1] > 2
+                    for at, e in [(own[i : i + 1], _edges(simplify(v[i], tolerance)[None])) for i in range(len(own))] if short else [(own, _edges(v))]:
+                        rows.append(np.repeat(at, e.shape[1]))
+                        ends.append(e.reshape(-1, 4))
+                        area.append(np.full(len(rows[-1]), is_area))
+            out = batch.drop(columns="geometry").iloc[np.concatenate(rows)].reset_index(drop=True)
+            s = np.vstack(ends)
             for i, c in enumerate(("x1", "y1", "x2", "y2")):
                 out[c] = s[:, i]
-            out["is_area"] = np.repeat(area, n)
+            out["is_area"] = np.concatenate(area)
             yield out
 
     return run

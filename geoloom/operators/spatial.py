@@ -158,9 +158,11 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
     that may hold something nearer than what is sure to be found, and takes exact
     distances in the few finest cells that are left. How many cells a point keeps
     depends on how the features lie, not on how many they are or how far away.
-    Points without finite coordinates have no row.
+    Features that are listed several times are kept once, and points at the same
+    place are searched for once. Points without finite coordinates have no row.
     """
     by = list(by)
+    segments = cut_lineage(segments.select(*by, "x1", "y1", "x2", "y2").distinct())
     mid = {a: (F.col(f"{a}1") + F.col(f"{a}2")) / 2 for a in "xy"}
     bounds = [f(g(f"{a}1", f"{a}2")).alias(f"{a}{n}") for a in "xy" for f, g, n in ((F.min, F.least, "l"), (F.max, F.greatest, "h"))]
 
@@ -179,11 +181,9 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         nothing = StructType([*points.select("id").schema, *segments.select(*by).schema, StructField("distance", DoubleType())])
         return points.sparkSession.createDataFrame([], nothing)
     if crowd > CROWDED:
-        pieces, cells, crowd, wide = gathered(_pieces(segments.select(*by, "x1", "y1", "x2", "y2").distinct(), by, cut), side)
-        if crowd > CROWDED:
-            deeper = min(MAX_DEEPER, math.ceil(math.log(crowd / CROWDED, 16)))
-            side = CELL / 4.0**deeper
-            pieces, cells, crowd, wide = gathered(pieces, side)
+        deeper = min(MAX_DEEPER, math.ceil(math.log(crowd / CROWDED, 16)))
+        side = CELL / 4.0**deeper
+        pieces, cells, crowd, wide = gathered(pieces, side)
     top = 0
     while ((wide[1] >> 3 * top) - (wide[0] >> 3 * top) + 1) * ((wide[3] >> 3 * top) - (wide[2] >> 3 * top) + 1) > STARTS:
         top += 1
@@ -199,9 +199,10 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
     start = F.from_json(F.lit(json.dumps([{**dict(zip(by, key)), "kids": own} for key, own in starts.items()], default=str)), ddl)
 
     finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) != float("inf")) for a in "xy"]
-    at, group = ["id", "x", "y"], [f"__s.{n}" for n in by]
+    at, group = ["x", "y"], [f"__s.{n}" for n in by]
     slack = lambda c: c * (1 + 1e-9) + 1e-9
-    near = spread(points.select(*at).where(finite[0] & finite[1]), "id")
+    points = points.select("id", *at).where(finite[0] & finite[1])
+    near = points.select(*at).distinct()
     live = near.withColumn("__s", F.explode(start)).select(*at, *[F.col(g).alias(n) for g, n in zip(group, by)], F.col("__s.kids").alias("kids"))
     live = live.withColumn("within", F.array_min(F.transform("kids", lambda q: _squared_gaps(q)[1])))
     widest = F.transform(F.filter("kids", lambda q: _squared_gaps(q)[0] <= slack(F.col("within"))), lambda q: F.struct(q["qx"].alias("qx"), q["qy"].alias("qy")))
@@ -212,8 +213,8 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         tree = cut_lineage(kids.groupBy(*by, "k", F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.collect_list(F.struct(*shown)).alias("kids")))
         own = near.withColumns({f"c{a}": F.floor(F.col(a) / side) for a in "xy"}).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(top))))
         own = joined(own.select(*at, "k", *above("k", ("cx", "cy"))), tree, ["k", "cx", "cy"]).select(*at, *by, F.explode("kids").alias("q"))
-        sure = own.select("id", *by, _squared_gaps(F.col("q"))[1].alias("sure")).groupBy("id", *by).agg(F.min("sure").alias("sure"))
-        live = joined(live, sure, ["id", *by], "left").withColumn("within", F.least("within", "sure"))
+        sure = own.select(*at, *by, _squared_gaps(F.col("q"))[1].alias("sure")).groupBy(*at, *by).agg(F.min("sure").alias("sure"))
+        live = joined(live, sure, [*at, *by], "left").withColumn("within", F.least("within", "sure"))
         # Pieces are kept by their middle, which is at most half their length from any point of them.
         reach = F.sqrt(slack(F.col("within"))) + cut / 2 + 1e-3
         level = F.coalesce(*[F.when(F.col("reach") <= side * 8.0**k, k) for k in range(top)], F.lit(top))
@@ -240,7 +241,8 @@ def nearest(points: DataFrame, segments: DataFrame, by: Sequence[str] = ()) -> D
         step = step.select(*at, *by, F.col("q.qx").alias("cx"), F.col("q.qy").alias("cy"), "within")
     ends = [F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")]
     met = joined(here, pieces, [*by, "cx", "cy"])
-    return met.groupBy("id", *by).agg(F.min(segment_distance(*ends)).alias("distance"))
+    met = met.groupBy(*at, *by).agg(F.min(segment_distance(*ends)).alias("distance"))
+    return joined(points, met, at).groupBy("id", *by).agg(F.min("distance").alias("distance"))
 
 
 #: Partitions whose row counts may be broadcast; more are joined by a shuffle.

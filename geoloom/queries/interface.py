@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -23,9 +24,9 @@ from geoloom.session import spread
 LLW_SIZES, PLOT_SIZES, REGION_SIZES, RING_SIZE = [500, 2000], [1000, 3000], [1000.0, 5000.0], 300
 
 
-@F.pandas_udf(BinaryType())
-def _encoded(kind: pd.Series, shape: pd.Series) -> pd.Series:
-    """Parts of rings of flat coordinates as a point, line, polygon or multipolygon."""
+@F.arrow_udf(BinaryType())
+def _encoded(kind: pa.Array, shape: pa.Array) -> pa.Array:
+    """Parts of rings of flat coordinates as a point, line, polygon or multipolygon; all rows have as many of each."""
 
     def one(kind: str, parts) -> bytes:
         if kind == "point":
@@ -35,7 +36,18 @@ def _encoded(kind: pd.Series, shape: pd.Series) -> pd.Series:
         own = [wkb.encode_polygon(*[r.reshape(-1, 2) for r in rings]) for rings in parts]
         return own[0] if len(own) == 1 else struct.pack("<BII", 1, wkb.MULTIPOLYGON, len(own)) + b"".join(own)
 
-    return pd.Series([one(k, s) for k, s in zip(kind, shape)], dtype=object)
+    n = len(shape)
+    if not n:
+        return pa.array([], pa.binary())
+    first = one(kind[0].as_py(), [[np.array(ring) for ring in rings] for rings in shape[0].as_py()])
+    flat = shape.flatten().flatten().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype("<f8").view(np.uint8).reshape(n, -1)
+    out, done = np.tile(np.frombuffer(first, np.uint8), (n, 1)), 0
+    for at, count, _, width in (ring for _, rings in wkb.places(first) for ring in rings):
+        size = 8 * count * width
+        out[:, at : at + size] = flat[:, done : done + size]
+        done += size
+    ends = np.arange(n + 1, dtype="<i4") * len(first)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def _geometry(kind: str, *parts: list[list[str]]) -> Column:

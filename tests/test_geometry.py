@@ -107,3 +107,14 @@ def test_segments(spark):
     got = to_segments(spark.createDataFrame(rows, "year int, geometry binary"), "year").drop("fid").collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 0, 3, 4, False), (1, 3, 4, 3, 9, False), (3, 1, 2, 1, 2, False)]
     assert to_segments(spark.createDataFrame([], "year int, geometry binary"), "year").count() == 0
+
+
+def test_geometries_of_one_layout_are_decoded_together():
+    hole = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]
+    multi = lambda order: struct.pack(f"{'<' if order else '>'}BII", order, 6, 2) + wkb.encode_polygon(RING, hole) + big_endian_polygon(RING)
+    odd = [None, b"", struct.pack("<BI2d", 1, 1, math.nan, math.nan), struct.pack("<BII", 1, 3, 0), struct.pack("<BI3d", 1, 1001, 1.0, 2.0, 9.0), multi(0), wkb.encode_polygon(RING, [])]
+    many = [wkb.encode_line([(k, 1.0), (k + 2.0, k)]) for k in range(9)] + [multi(1)] * 3 + odd + [big_endian_polygon([(k, k), (k, 2.0), (3.0, k), (k, k)]) for k in range(4)]
+    found = list(wkb.alike(many))
+    assert max(len(rows) for rows, _ in found) == 9
+    got = {int(i): [(base, [v[k].tolist() for v in rings]) for base, rings in shape] for rows, shape in found for k, i in enumerate(rows)}
+    assert got == {i: [(base, [v.tolist() for v in rings]) for base, rings in own] for i, g in enumerate(many) if (own := wkb.parts(g))}

@@ -113,3 +113,14 @@ def test_named_main_roads_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(engine, "cut_lineage", lambda df: seen.append(broadcasts(df)) or df)
     interface.calc_main_road_llw(spark, "/root/testdata/sf0.001")
     assert seen == [0, 0]
+
+
+def test_lines_and_points_listed_often_are_kept_once(spark, monkeypatch):
+    points, lines = layers(spark)
+    kept = []
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    found = lambda p, s: sorted((r.id, round(r.distance, 9)) for r in nearest(p, s, ["year"]).collect())
+    once = found(points, lines)
+    sizes, kept[:] = [df.count() for df in kept], []
+    often = found(points.unionByName(points.withColumn("id", F.col("id") + 1000)), lines.unionByName(lines).unionByName(lines))
+    assert often == once + [(k + 1000, d) for k, d in once] and [df.count() for df in kept] == sizes
