@@ -12,7 +12,7 @@ from geoloom.functions import kernels as K
 from geoloom.functions.naming import ELEVATION, padded, plain
 from geoloom.functions.projection import unproject
 from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, joined, nearest, side_of
-from geoloom.session import spread
+from geoloom.session import cut_lineage, spread
 
 RING = 30.0
 #: Elevation differences in metres beyond which ring cells are counted, and their names.
@@ -37,14 +37,19 @@ def distance(points: DataFrame, segments: DataFrame, name: str) -> DataFrame:
     found = nearest(points, segments, ["year"])
     areas = segments.where("is_area") if "is_area" in segments.columns else None
     if areas is not None:
-        edges = areas.select("year", "fid", "x1", "y1", "x2", "y2")
-        extent = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
-        boxes = edges.groupBy("year", "fid").agg(*[f(e).alias(n) for f, e, n in zip((F.min, F.min, F.max, F.max), extent, ("rx0", "ry0", "rx1", "ry1"))])
-        at = points.select("id", "x", "y", F.col("x").alias("lx0"), F.col("y").alias("ly0"), F.col("x").alias("lx1"), F.col("y").alias("ly1"))
-        hit = joined(box_join(at, boxes).select("id", "x", "y", "year", "fid"), edges, ["year", "fid"])
-        crossing = K.ray_crossing(*[F.col(c) - F.col(c[0]) for c in ("x1", "y1", "x2", "y2")])
-        inside = hit.groupBy("id", "year", "fid").agg(F.sum(crossing.cast("int")).alias("n")).where("n % 2 = 1").select("id", "year").distinct()
-        inside = inside.withColumn("__in", F.lit(0.0))
+        ends = ["x1", "y1", "x2", "y2"]
+        # Areas that are listed several times are kept once, and points at the same place are looked up once.
+        shapes = areas.groupBy("year", "fid").agg(F.sort_array(F.collect_list(F.struct(*ends))).alias("edges"))
+        shapes = cut_lineage(shapes.groupBy("year", "edges").agg(F.min("fid").alias("fid")))
+        edges = shapes.select("year", "fid", F.explode("edges").alias("e")).select("year", "fid", "e.*")
+        extent = [f(F.transform("edges", lambda e: g(e[f"{a}1"], e[f"{a}2"]))) for f, g in ((F.array_min, F.least), (F.array_max, F.greatest)) for a in "xy"]  # noqa: B023
+        boxes = shapes.select("year", "fid", *[e.alias(n) for e, n in zip(extent, ("rx0", "ry0", "rx1", "ry1"))])
+        places = points.select("x", "y").where("x is not null and y is not null").distinct()
+        at = places.select("x", "y", F.col("x").alias("lx0"), F.col("y").alias("ly0"), F.col("x").alias("lx1"), F.col("y").alias("ly1"))
+        hit = joined(box_join(at, boxes).select("x", "y", "year", "fid"), edges, ["year", "fid"])
+        crossing = K.ray_crossing(*[F.col(c) - F.col(c[0]) for c in ends])
+        inside = hit.groupBy("x", "y", "year", "fid").agg(F.sum(crossing.cast("int")).alias("n")).where("n % 2 = 1").select("x", "y", "year").distinct()
+        inside = joined(points.select("id", "x", "y"), inside, ["x", "y"]).select("id", "year", F.lit(0.0).alias("__in")).distinct()
         found = joined(found, inside, ["id", "year"], "left").withColumn("distance", F.coalesce("__in", "distance"))
     return found.select("id", F.lit(name).alias("varname"), F.col("year").cast("int").alias("year"), F.col("distance").alias("value"))
 

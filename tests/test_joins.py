@@ -124,3 +124,14 @@ def test_lines_and_points_listed_often_are_kept_once(spark, monkeypatch):
     sizes, kept[:] = [df.count() for df in kept], []
     often = found(points.unionByName(points.withColumn("id", F.col("id") + 1000)), lines.unionByName(lines).unionByName(lines))
     assert often == once + [(k + 1000, d) for k, d in once] and [df.count() for df in kept] == sizes
+
+
+def test_areas_listed_often_are_looked_up_once(spark, monkeypatch):
+    corners = [(0.0, 0.0), (900.0, 0.0), (900.0, 500.0), (0.0, 500.0)]
+    edges = [(fid, 2020, *a, *b, True) for fid in range(5) for a, b in zip(corners, corners[1:] + corners[:1])]
+    segments = spark.createDataFrame(edges, "fid long, year int, x1 double, y1 double, x2 double, y2 double, is_area boolean")
+    points = spark.createDataFrame([(1, 300.0, 200.0), (2, 300.0, 200.0), (3, 1000.0, 200.0), (4, None, 1.0)], "id long, x double, y double")
+    seen, own = [], variables.box_join
+    monkeypatch.setattr(variables, "box_join", lambda left, right: seen.append((left.count(), right.count())) or own(left, right))
+    assert {(r.id, r.value) for r in variables.distance(points, segments, "D_River").collect()} == {(1, 0.0), (2, 0.0), (3, 100.0)}
+    assert seen == [(2, 1)]
