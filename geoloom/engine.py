@@ -247,8 +247,7 @@ class Calculator:
 
         def plan() -> DataFrame:
             rows = self.layers.read("roads").where(F.col("year").isin(years))
-            segments = self._prepared(lambda: to_segments(rows, "year", "lanes", "width"))
-            return variables.line_lengths(self.points, segments, sizes, years, "Road")
+            return variables.line_lengths(self.points, to_segments(rows, "year", "lanes", "width"), sizes, years, "Road")
 
         return self._note(plan)
 

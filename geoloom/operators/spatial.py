@@ -79,8 +79,11 @@ def buffers(points: DataFrame, sizes: Sequence[float]) -> DataFrame:
 
 
 def cut_at_cells(segments: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """Segments cut where they leave a grid cell, once per level: each piece, with its ends, lies in the cell (level, cx, cy)."""
-    rows = spread(segments).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    """Segments cut where they leave a grid cell, once per level: each piece, with its ends, lies in the cell (level, cx, cy).
+
+    ``segments`` should lie spread over all cores.
+    """
+    rows = segments.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     side = side_of(F.col("level"))
     for a in "xy":
         start, run = F.col(f"{a}1"), F.col(f"{a}2") - F.col(f"{a}1")

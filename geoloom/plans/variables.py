@@ -32,6 +32,21 @@ def _label(sizes: Sequence[float], text) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), F.col("r"))
 
 
+def _place() -> Column:
+    """Key of a point's place; 0 has one sign."""
+    return F.struct(*[(F.col(a) + F.lit(0.0)).alias(a) for a in "xy"])
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """(id, x, y): every place of the points once, with itself as id."""
+    return points.select(_place().alias("id")).distinct().select("id", "id.x", "id.y")
+
+
+def _at_points(points: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found at places, for every point there; points of places without any stay."""
+    return joined(points.select(F.col("id").alias("__point"), _place().alias("id")), found, ["id"], "left").drop("id").withColumnRenamed("__point", "id")
+
+
 def distance(points: DataFrame, segments: DataFrame, name: str) -> DataFrame:
     """Distance to the nearest feature per year; 0 inside an area; no row for years without features."""
     found = nearest(points, segments, ["year"])
@@ -95,13 +110,14 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     drop out of the sums that need them only. Lines are cut at grid cells that
     match the buffer sizes and summed up per cell; cells inside a buffer count
     by their sums, and only pieces in cells at its rim are clipped. Lines that
-    are listed several times are kept once, with how often they count.
+    are listed several times are kept once, with how often they count, and
+    points at the same place are looked up once.
     """
-    round_ = buffers(points, sizes).select("id", "x", "y", "r")
+    round_ = buffers(_places(points), sizes).select("id", "x", "y", "r")
     levels = sorted({_grid_level(float(s), 4) for s in sizes})
     keys = ["level", "cx", "cy"]
     same = ["year", "lanes", "width", "x1", "y1", "x2", "y2"]
-    lines = segments.groupBy(*same).agg(F.count("*").cast("double").alias("times"))
+    lines = spread(segments.select(*same), *same).groupBy(*same).agg(F.count("*").cast("double").alias("times"))
     pieces = cut_at_cells(lines, levels)
     blocks = cut_at_cells(lines.select(*same[3:]), [v + BLOCK for v in levels])
     blocks = blocks.select((F.col("level") - BLOCK).alias("level"), F.col("cx").alias("bx"), F.col("cy").alias("by")).distinct()
@@ -117,8 +133,11 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     rim = rim.select("id", "r", "year", "lanes", "width", (K.clipped_length(*ends, F.col("r")) * F.col("times")).alias("len"))
     rim = rim.select("id", "r", "year", *[t.alias(n) for t, n in zip(terms(F.col("len")), names)])
     sums = whole.unionByName(rim).groupBy("id", "r", "year").agg(*[F.sum(n).alias(n) for n in names])
-    grid = round_.select("id", "r", F.explode(F.array(*map(F.lit, years))).alias("year"))
-    full = joined(grid, sums, ["id", "r", "year"], "left").fillna(0.0, names)
+    found = sums.groupBy("id").agg(F.collect_list(F.struct("r", "year", *names)).alias("__found"))  # one for each size and year at most
+    kept = _at_points(points, found)
+    listed = kept.select("*", F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("r")).select("*", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    own = F.get(F.filter("__found", lambda f: (f["r"] == F.col("r")) & (f["year"] == F.col("year"))), F.lit(0))
+    full = listed.withColumn("__own", own).select("id", "r", "year", *[F.coalesce(F.col(f"__own.{c}"), F.lit(0.0)).alias(c) for c in names])
     label = _label(sizes, padded)
     return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in names}, F.col("year"))
 

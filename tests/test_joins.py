@@ -135,3 +135,13 @@ def test_areas_listed_often_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(variables, "box_join", lambda left, right: seen.append((left.count(), right.count())) or own(left, right))
     assert {(r.id, r.value) for r in variables.distance(points, segments, "D_River").collect()} == {(1, 0.0), (2, 0.0), (3, 100.0)}
     assert seen == [(2, 1)]
+
+
+def test_buffers_at_the_same_place_are_looked_up_once(spark, monkeypatch):
+    points, lines = layers(spark)
+    seen, own = [], variables.buffers
+    monkeypatch.setattr(variables, "buffers", lambda p, sizes: seen.append(p.count()) or own(p, sizes))
+    value = lambda p: {(r.id, r.varname): r.value for r in variables.line_lengths(p, lines, [500.0, 2000.0], [2015, 2020], "Road").collect()}
+    once, twice = value(points), value(points.unionByName(points.withColumn("id", F.col("id") + 1000)))
+    assert seen == [points.count()] * 2 and any(once.values())
+    assert twice == once | {(k + 1000, n): v for (k, n), v in once.items()}
