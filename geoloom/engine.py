@@ -19,7 +19,7 @@ from geoloom.functions import naming
 from geoloom.functions.projection import REFERENCE, to_reference
 from geoloom.functions.wkb import point_wkb
 from geoloom.operators import chunking
-from geoloom.operators.prepare import to_polygons, to_segments
+from geoloom.operators.prepare import listed_once, to_polygons, to_segments
 from geoloom.operators.spatial import joined, row_ids
 from geoloom.plans import finalise, variables
 from geoloom.session import build_session, cut_lineage
@@ -273,7 +273,7 @@ class Calculator:
 
             def plan(year: int = year) -> DataFrame:
                 layer = self.layers.read(f"landuse_{year}")
-                polygons = self._prepared(lambda: to_polygons(self._around(layer, sizes), "code"))
+                polygons = to_polygons(listed_once(self._around(layer, sizes)), "codes")
                 return variables.landuse(self.points, polygons, sizes, year, layer.select("code"))
 
             self._note(plan)

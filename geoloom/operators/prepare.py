@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.wkb import POLYGON, alike, parts
+from geoloom.functions.wkb import POLYGON, alike
+from geoloom.session import spread
 
 
 def simplify(vertices: np.ndarray, tolerance: float) -> np.ndarray:
@@ -67,35 +69,55 @@ def to_segments(layer: DataFrame, *keep: str, tolerance: float = 0.0) -> DataFra
     return source.mapInPandas(_segments(tolerance), f"{kinds}x1 double, y1 double, x2 double, y2 double, is_area boolean")
 
 
+_EDGE = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+
+
+def _parts_alike(found: list[tuple[int, list[np.ndarray]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (row, edge, ends) and area of every polygon part, of rings as ``alike`` gives them."""
+    out = []
+    for base, rings in found:
+        if base != POLYGON:
+            continue
+        edges, area = [], 0.0
+        for i, ring in enumerate(rings):
+            v = ring - ring[:, :1]
+            signed = np.sum(v[:, :-1, 0] * v[:, 1:, 1] - v[:, 1:, 0] * v[:, :-1, 1], axis=1) / 2
+            turned = (signed > 0) != (i == 0)
+            ring = np.where(turned[:, None, None], ring[:, ::-1], ring)
+            edges.append(np.concatenate([ring[:, :-1], ring[:, 1:]], axis=2))
+            area = area + np.where(turned, -signed, signed)
+        if (e := np.concatenate(edges, axis=1)).shape[1]:
+            out.append((e, area))
+    return out
+
+
 def to_polygons(layer: DataFrame, *keep: str) -> DataFrame:
     """(fid, keep..., feature_area, xmin, ymin, xmax, ymax, edges): one row per polygon part, shells turned left and holes right."""
 
-    def parts_of(data: bytes) -> list[tuple]:
-        out = []
-        for base, rings in parts(data):
-            if base != POLYGON:
-                continue
-            edges, area = [], 0.0
-            for i, ring in enumerate(rings):
-                v = ring - ring[0]
-                signed = float(np.sum(v[:-1, 0] * v[1:, 1] - v[1:, 0] * v[:-1, 1]) / 2)
-                if (signed > 0) != (i == 0):
-                    ring, signed = ring[::-1], -signed
-                edges.append(np.hstack([ring[:-1], ring[1:]]))
-                area += signed
-            e = np.vstack(edges)
-            out.append((area, *e[:, :2].min(axis=0), *e[:, :2].max(axis=0), [dict(zip(("x1", "y1", "x2", "y2"), map(float, r))) for r in e]))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for record in batch.itertuples(index=False):
-                found = parts_of(record[-1])
-                rows += [(*record[:-1], sum(p[0] for p in found), *p[1:]) for p in found]
-            yield pd.DataFrame(rows, columns=["fid", *keep, "feature_area", "xmin", "ymin", "xmax", "ymax", "edges"])
+            kept = batch.select(["fid", *keep])
+            for own, found in alike(batch.column(batch.num_columns - 1).to_pylist()):
+                shapes = _parts_alike(found)
+                whole = sum(area for _, area in shapes)
+                for e, _ in shapes:
+                    n = len(own) * e.shape[1]
+                    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(e[:, :, k]).reshape(n)) for k in range(4)], fields=list(_EDGE))
+                    edges = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * e.shape[1]), flat)
+                    box = [*e[:, :, :2].min(axis=1).T, *e[:, :, :2].max(axis=1).T]
+                    rows = kept.take(pa.array(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [*rows.columns, *map(pa.array, (whole, *box)), edges], ["fid", *keep, "feature_area", "xmin", "ymin", "xmax", "ymax", "edges"]
+                    )
 
     source = layer.where(F.col("geometry").isNotNull()).select(F.monotonically_increasing_id().alias("fid"), *keep, "geometry")
     kinds = "".join(f"`{f}` {t}, " for f, t in source.dtypes if f != "geometry")
     edge = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
-    return source.mapInPandas(run, f"{kinds}feature_area double, xmin double, ymin double, xmax double, ymax double, edges {edge}")
+    return source.mapInArrow(run, f"{kinds}feature_area double, xmin double, ymin double, xmax double, ymax double, edges {edge}")
+
+
+def listed_once(layer: DataFrame) -> DataFrame:
+    """(geometry, codes): every geometry of a land-use layer once, with its codes and how often it is listed with each."""
+    rows = layer.where("geometry is not null and code is not null").select("geometry", F.col("code").cast("string").alias("code"))
+    counts = spread(rows, "geometry").groupBy("geometry", "code").agg(F.count("*").cast("double").alias("times"))
+    return counts.groupBy("geometry").agg(F.collect_list(F.struct("code", "times")).alias("codes"))

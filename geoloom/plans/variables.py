@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import kernels as K
 from geoloom.functions.naming import ELEVATION, padded, plain
 from geoloom.functions.projection import unproject
+from geoloom.operators.overlay import overlay
 from geoloom.operators.spatial import CELL, box_join, buffers, cut_at_cells, joined, nearest, side_of
 from geoloom.session import cut_lineage, spread
 
@@ -142,8 +143,8 @@ def line_lengths(points: DataFrame, segments: DataFrame, sizes: Sequence[float],
     return _long(full, {c: F.concat(F.lit(f"{prefix}_{c}_"), label) for c in names}, F.col("year"))
 
 
-def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str], touching: bool = False) -> DataFrame:
-    """(id, r, keep..., overlap) per pair of a buffer and a polygon part whose boxes meet; with ``touching``, only of those that meet."""
+def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], keep: Sequence[str]) -> DataFrame:
+    """(id, r, keep..., overlap) per pair of a buffer and a polygon part that meet."""
     boxes = spread(polygons, "fid").withColumnsRenamed({"xmin": "rx0", "ymin": "ry0", "xmax": "rx1", "ymax": "ry1"})
     boxes = boxes.withColumn("__poly", F.xxhash64("fid", "rx0", "ry0", "rx1", "ry1"))
     pairs = box_join(buffers(points, sizes), boxes).where("r > 0")
@@ -153,8 +154,6 @@ def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], ke
     own = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     keys = ["id", "r", "__poly", *keep]
     overlap = F.greatest(F.lit(0.0), F.coalesce(F.sum("area"), F.lit(0.0))).alias("overlap")
-    if not touching:
-        return K.with_wedge_area(edges).groupBy(*keys).agg(overlap).select("id", "r", *keep, "overlap")
     # An edge makes several rows, one per wedge; what is said of the edge itself counts in the first.
     enter, leave = K.clip(*own, F.col("r"))
     edges = edges.withColumn("__hit", enter <= leave).withColumn("__odd", K.ray_crossing(*own).cast("int"))
@@ -167,18 +166,30 @@ def _overlaps(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], ke
 def landuse(points: DataFrame, polygons: DataFrame, sizes: Sequence[float], year: int, listed: DataFrame | None = None) -> DataFrame:
     """Area and share of every land-use code inside buffers; every code of the layer for every point, 0 where absent.
 
-    ``listed`` has the codes if ``polygons`` are only those near the points.
+    ``polygons`` has a code, or in ``codes`` those that a shape is listed with and
+    how often. ``listed`` has the codes if they are only those near the points.
+    Points at the same place are looked up once.
     """
-    polygons = polygons.withColumn("code", F.col("code").cast("string"))
-    sums = _overlaps(points, polygons, sizes, ["code"]).groupBy("id", "r", "code").agg(
-        F.sum("overlap").alias("a"), F.sum(F.col("overlap") / K.buffer_area(F.col("r"))).alias("p")
-    )
-    codes = sorted(r[0] for r in (polygons if listed is None else listed).select(F.col("code").cast("string").alias("code")).where("code is not null").distinct().collect())  # a land-use classification
-    grid = points.select("id", F.explode(F.array(*map(F.lit, codes)).cast("array<string>")).alias("code"))
-    grid = grid.select("id", "code", F.explode(F.array(*[F.lit(float(s)) for s in sizes])).alias("r"))
-    full = joined(grid, sums, ["id", "r", "code"], "left").fillna(0.0, ["a", "p"])
-    name = F.concat(F.lit("LS"), F.col("code"), F.lit("_"), _label(sizes, padded))
-    return _long(full, {c: F.concat(name, F.lit(f"_{c}")) for c in ("a", "p")}, F.lit(year))
+    several = "codes" in polygons.columns
+    named = polygons.select(F.explode("codes.code").alias("code")) if several and listed is None else polygons if listed is None else listed
+    codes = sorted(r[0] for r in named.select(F.col("code").cast("string").alias("code")).where("code is not null").distinct().collect())  # a land-use classification
+    if not codes:
+        return points.select("id", F.lit("").alias("varname"), F.lit(year).cast("int").alias("year"), F.lit(0.0).alias("value")).where(F.lit(False))
+    number = lambda c: (F.array_position(F.array(*map(F.lit, codes)), c.cast("string")) - 1).cast("int").alias("code")
+    once = lambda c, n: F.struct(number(c), n.cast("double").alias("times"))
+    own = F.transform(F.filter("codes", lambda c: c["code"].isNotNull()), lambda c: once(c["code"], c["times"])) if several else F.array(once(F.col("code"), F.lit(1)))
+    shapes = polygons if several else polygons.where("code is not null")
+    shapes = cut_lineage(shapes.select("edges", own.alias("codes"), "xmin", "ymin", "xmax", "ymax"))
+    finite = [F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(F.col(a)) != float("inf")) for a in "xy"]
+    places = cut_lineage(_places(points).where(finite[0] & finite[1]))
+    n, each = len(codes) * len(sizes), [(c, float(s)) for c in codes for s in sizes]
+    sums = overlay(places, shapes, sizes, len(codes)).groupBy("x", "y", "k").agg(F.sum("a").alias("a"))
+    sums = sums.groupBy(_place().alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("k", "a"))).alias("m"))  # one for each code and size at most
+    found = sums.select("id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("areas"))
+    full = _at_points(points, found).select("id", F.posexplode(F.coalesce("areas", F.array_repeat(F.lit(0.0), n))).alias("k", "a"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("k"))
+    full = full.withColumn("p", F.coalesce(F.try_divide("a", of([s * s * K.UNIT_AREA for _, s in each])), F.lit(0.0)))
+    return _long(full, {v: of([f"LS{c}_{padded(s)}_{v}" for c, s in each]) for v in ("a", "p")}, F.lit(year))
 
 
 def region_overlap(points: DataFrame, polygons: DataFrame, sizes: Sequence[float]) -> DataFrame:
@@ -186,7 +197,7 @@ def region_overlap(points: DataFrame, polygons: DataFrame, sizes: Sequence[float
 
     A buffer that touches none has one row with a null code and ratio 0.
     """
-    found = _overlaps(points, polygons, sizes, ["fid", "tot_reg_cd", "feature_area"], touching=True)
+    found = _overlaps(points, polygons, sizes, ["fid", "tot_reg_cd", "feature_area"])
     ratio = found.groupBy("id", "r", "fid", "tot_reg_cd").agg((F.sum("overlap") / F.max("feature_area")).alias("ratio"))
     grid = buffers(points, sizes).select("id", "r")
     full = joined(grid, ratio, ["id", "r"], "left")
